@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from meterloom.llm import quality_rules
+from meterloom.llm import byte_bpe, quality_rules, wavelet
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.query,
+        "op3_byte_bpe": byte_bpe.query,
+        "op10_wavelet": wavelet.query,
     }
 
 
