@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from meterloom.llm import byte_bpe, quality_rules, wavelet
+from meterloom.llm import byte_bpe, quality_rules, simhash, wavelet
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.query,
         "op3_byte_bpe": byte_bpe.query,
+        "op5_simhash": simhash.query,
         "op10_wavelet": wavelet.query,
     }
 
