@@ -4,8 +4,8 @@
    one position sequence (ranks of the block's distinct words, compressed), and the distinct words
    become packed rows keyed by (block, word bucket). Both go to a table in the shared folder.
 2. The packed words are shuffled by bucket, so all occurrences of a word meet in one place, where it
-   is encoded once. A bucket holds 1/BUCKETS of the distinct words; the most frequent word costs one
-   entry a block, however often it occurs.
+   is encoded once. The number of buckets grows with the input; the most frequent word costs one entry a
+   block, however often it occurs.
 3. The ids are shuffled back by block and every document is reassembled by position; decoding looks
    every id of the document up in the token-byte table.
 
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from meterloom.llm import common
 
-BUCKETS = 256
+BUCKETS = (64, 4096)  # at least and at most; one per BUCKET_BYTES of input in between
+BUCKET_BYTES = 8 << 20
 BLOCK_BYTES = 24 << 20
 
 
@@ -41,7 +42,7 @@ def _pack(*parts: bytes) -> bytes:
 
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts))
+    return zstandard.ZstdCompressor(level=9).compress(struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -102,16 +103,16 @@ def _split(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, blo
             with pa.ipc.new_stream(sink, keys[0].schema) as w:
                 for k in keys:
                     w.write_batch(k)
-            rows = [(block, -1, _pack(sink.getvalue().to_pybytes(), sizes.tobytes(), _planes(rank[seq] if len(seq) else seq)))]
             raw = [words[i].encode() for i in order.tolist()]
-            place = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
+            place = (np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets).astype(np.uint16)
+            rows = [(block, -1, _pack(sink.getvalue().to_pybytes(), sizes.tobytes(), _planes(rank[seq] if len(seq) else seq), (place & 255).astype(np.uint8).tobytes() + (place >> 8).astype(np.uint8).tobytes()))]
             by = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[by], np.arange(buckets + 1))
             for b in range(buckets):
                 at = by[ends[b] : ends[b + 1]]
                 if len(at):
                     own = [raw[i] for i in at.tolist()]
-                    rows.append((block, b, _pack(_planes(np.diff(at, prepend=0)), _planes(np.fromiter(map(len, own), np.uint32, len(own))), b"".join(own))))
+                    rows.append((block, b, _pack(_planes(np.fromiter(map(len, own), np.uint32, len(own))), b"".join(own))))
             blocks, places, blobs = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
 
@@ -158,7 +159,7 @@ def _encode_words(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 block, bucket, blob = (batch.column(c)[i].as_py() for c in range(3))
                 if bucket != current:
                     current, known = bucket, {}
-                steps, sizes, raw = _unpack(blob)
+                sizes, raw = _unpack(blob)
                 ends = np.cumsum(_from_planes(sizes)).tolist()
                 ids = []
                 for a, b in zip([0, *ends[:-1]], ends, strict=True):
@@ -169,7 +170,7 @@ def _encode_words(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                     ids.append(found)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids))
                 flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(steps, _planes(counts), _planes(flat))], pa.binary())], names=["block", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(_planes(counts), _planes(flat))], pa.binary())], names=["block", "bucket", "blob"])
 
     return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, blob binary")
 
@@ -193,11 +194,15 @@ def _reassemble(rows: DataFrame, ranks: bytes, key: str, key_type, digest: bool)
         names = [str(i) for i in range(len(table))]
 
         def finish(docs, found):
-            keys, sizes, planes = docs
-            n = sum(len(x[0]) for x in found)
-            counts, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            keys, sizes, planes, places = docs
+            low, high = np.frombuffer(places, np.uint8).reshape(2, -1).astype(np.uint16)
+            place = low | high << 8  # bucket of every word, in order of rank; within a bucket words keep that order
+            by = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[by], np.arange(len(by) and int(place.max()) + 2))
+            counts, starts = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
             flats, begun = [np.empty(0, np.uint32)], 0
-            for at, c, flat in found:
+            for bucket, c, flat in found:
+                at = by[ends[bucket] : ends[bucket + 1]]
                 counts[at] = c
                 starts[at] = begun + np.cumsum(c) - c
                 flats.append(flat)
@@ -240,14 +245,14 @@ def _reassemble(rows: DataFrame, ranks: bytes, key: str, key_type, digest: bool)
                 if bucket < 0:
                     docs = parts
                 else:
-                    found.append((np.cumsum(_from_planes(parts[0]), dtype=np.int64), _from_planes(parts[1]).astype(np.int64), _from_planes(parts[2])))
+                    found.append((bucket, _from_planes(parts[0]).astype(np.int64), _from_planes(parts[1])))
         if docs:
             yield from finish(docs, found)
 
     return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False, buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its key, n_tokens, ids (array of int) and decoded (binary).
 
     With ``digest`` the last two are the SHA-256 of the decimal ids joined by commas and of the
@@ -256,6 +261,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     from pyspark.sql import functions as F
 
     ranks = common.file_bytes(ranks_path)
+    if buckets is None:
+        buckets = min(max(common.planned_bytes(docs) // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
     kept = common.stash(_split(docs, key, text, pattern, buckets, block_bytes), "bpe-split")
     ids = _encode_words(kept.where(F.col("bucket") >= 0), ranks, pattern)
     return _reassemble(kept.where(F.col("bucket") < 0).unionByName(ids), ranks, key, docs.schema[key].dataType, digest)

@@ -97,6 +97,11 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """Collect a table that is bounded by design; an error where the bound is exceeded."""
     rows = df.limit(most + 1).collect()
