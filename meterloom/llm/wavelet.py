@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm import common
-from meterloom.llm.byte_bpe import Numbered, pattern_for_regex
+from meterloom.llm.byte_bpe import pattern_for_regex
 
 FILE_TOKENS = 2 << 20
 END_ID = 2
@@ -175,59 +175,107 @@ class WaveletFile:
         return seq
 
 
+class Irregular(Exception):
+    """A blank of the text stands beside other white space."""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Recent(dict):
+    """A dict that keeps what has been used lately: at most twice `most` entries."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def trim(self):
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
+class Words(Recent):
+    """Pre-token -> its ids as little-endian 16-bit numbers, by the library's merges."""
+
+    def __init__(self, model, most: int):
+        super().__init__(most)
+        self.model, self.letters = model, byte_letters()
+
+    def make(self, word):
+        import numpy as np
+
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in found], "<u2").tobytes()
+
+
+class Chunks(Recent):
+    """What stands between two blanks -> its ids, the blank before it included.
+
+    Between two characters that are not white space, a pre-token always ends before a blank and
+    before and after a line feed. A chunk that begins with a line feed had no blank before it.
+    """
+
+    def __init__(self, find, words, most: int):
+        super().__init__(most)
+        self.find, self.words = find, words
+
+    def make(self, chunk):
+        feed = chunk[:1] == "\n"
+        body = chunk[1:] if feed else chunk
+        if not body or body[0].isspace() or body[-1].isspace():
+            raise Irregular
+        return b"".join(map(self.words.__getitem__, self.find(chunk if feed else " " + chunk)))
+
+
 class WordEncoder:
-    """Encodes texts by way of their distinct pre-tokens, each given to the tokenizers library once."""
+    """Encodes texts by way of their distinct pre-tokens, each given to the tokenizers library once.
+
+    Special tokens' strings in a text are ordinary text. The vocabulary must be byte-level, without a
+    normalizer or a blank put before the text.
+    """
 
-    MOST = 600_000  # words kept
+    WORDS, CHUNKS = 400_000, 200_000  # kept before the older half goes
 
     def __init__(self, model: str):
-        import os
+        import json
 
-        import numpy as np
         import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        says, tokenizer = json.loads(model), Tokenizer.from_str(model)
+        split = says["pre_tokenizer"]
+        if says["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
+            raise ValueError("a byte-level vocabulary without normalizer is needed")
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
         self.find = regex.compile(pattern_for_regex(BYTE_LEVEL_PATTERN)).findall
-        self.np = np
-        self.reset()
-
-    def reset(self):
-        np = self.np
-        self.index, self.known = Numbered(), 0
-        self.flat, self.counts, self.starts = np.empty(0, np.uint16), np.empty(0, np.int32), np.empty(0, np.int64)
-
-    def _learn(self):
-        np = self.np
-        import itertools
-
-        if len(self.index) == self.known:
-            return
-        fresh = list(itertools.islice(self.index, self.known, None))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(counts.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts, dtype=np.int64) - counts])
-        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
-        self.known = len(self.index)
-
-    def encode(self, texts) -> list:
-        """An array of ids per text."""
-        np = self.np
-        if len(self.index) > self.MOST:
-            self.reset()
-        number = self.index.__getitem__
-        seqs = [np.fromiter(map(number, w), np.int32, len(w)) for w in map(self.find, texts)]
-        self._learn()
-        out = []
-        for seq in seqs:
-            c = self.counts[seq]
-            ends = np.cumsum(c, dtype=np.int64)
-            out.append(self.flat[np.repeat(self.starts[seq] - ends + c, c) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        self.words = Words(tokenizer.model, self.WORDS)
+        self.chunks = Chunks(self.find, self.words, self.CHUNKS)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 16-bit numbers."""
+        self.words.trim()
+        self.chunks.trim()
+        chunks = text.replace("\n", " \n").split(" ")
+        first = chunks[0]
+        if first and not first[0].isspace() and not first[-1].isspace():
+            try:
+                rest = b"".join(map(self.chunks.__getitem__, chunks[1:]))
+                return b"".join(map(self.words.__getitem__, self.find(first))) + rest
+            except Irregular:
+                pass
+        return b"".join(map(self.words.__getitem__, self.find(text)))
 
 
 def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +290,7 @@ def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_I
         from pyspark import TaskContext
 
         encoder = common.worker_memo("wavelet-words", lambda: WordEncoder(model))
-        end = np.array([end_id], np.uint16)
+        end = np.array([end_id], "<u2").tobytes()
         part, chunk, keys, found, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
@@ -251,22 +299,21 @@ def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_I
             own = pa.array(keys, pa.int64())
             with pa.ipc.new_stream(sink, pa.schema([("key", pa.int64())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([own], names=["key"]))
-            ids = np.concatenate([x for ids in found for x in (ids, end)])
-            lengths = np.fromiter((len(x) + 1 for x in found), np.uint32, len(found))
+            ids = np.frombuffer(b"".join(found), "<u2")
+            lengths = np.fromiter((len(x) // 2 for x in found), np.uint32, len(found))
             row = [part], [chunk], [keys[0]], [len(keys)], [len(ids)], [build(ids, sink.getvalue().to_pybytes(), lengths)]
             chunk += 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "chunk", "first_key", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                piece = batch.slice(begin, 512)
-                for k, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    found.append(ids)
-                    size += len(ids) + 1
-                    if size >= file_tokens:
-                        yield flush()
-                        keys, found, size = [], [], 0
+            texts = batch.column(1)
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                keys.append(k)
+                found.append(encoder.encode(texts[i].as_py()) + end)
+                size += len(found[-1]) // 2
+                if size >= file_tokens:
+                    yield flush()
+                    keys, found, size = [], [], 0
         if keys:
             yield flush()
 
