@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import byte_bpe, quality_rules, simhash, wavelet
+from meterloom.llm import byte_bpe, centroid_lang, license_scan, quality_rules, simhash, wavelet
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_quality_rules": quality_rules.query,
         "op3_byte_bpe": byte_bpe.query,
         "op5_simhash": simhash.query,
+        "op8_license_scan": license_scan.query,
+        "op9_centroid_lang": centroid_lang.query,
         "op10_wavelet": wavelet.query,
     }
 
@@ -17,4 +19,5 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.sql(),
+        "op8_license_scan": license_scan.sql(),
     }
