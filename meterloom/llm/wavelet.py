@@ -210,42 +210,49 @@ class Words(Recent):
 
     def __init__(self, model, most: int):
         super().__init__(most)
-        self.model, self.letters = model, byte_letters()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+        self.pairs = [bytes((i & 255, i >> 8)) for i in range(1 << 16)]
 
     def make(self, word):
-        import numpy as np
-
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in found], "<u2").tobytes()
+        pairs = self.pairs
+        return b"".join([pairs[t.id] for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
 
-class Chunks(Recent):
+class Chunks(Words):
     """What stands between two blanks -> its ids, the blank before it included.
 
     Between two characters that are not white space, a pre-token always ends before a blank and
     before and after a line feed. A chunk that begins with a line feed had no blank before it.
     """
 
-    def __init__(self, find, words, most: int):
-        super().__init__(most)
+    def __init__(self, model, find, words, most: int):
+        super().__init__(model, most)
         self.find, self.words = find, words
 
     def make(self, chunk):
+        if chunk.isalpha():
+            return super().make(" " + chunk)
+        plain = chunk.rstrip(".,;:!?")
+        if plain.isalpha():
+            return self[plain] + self.words[chunk[len(plain) :]]
         feed = chunk[:1] == "\n"
         body = chunk[1:] if feed else chunk
+        if feed and body.isalpha():
+            return self.words["\n"] + self.words[body]
         if not body or body[0].isspace() or body[-1].isspace():
             raise Irregular
-        return b"".join(map(self.words.__getitem__, self.find(chunk if feed else " " + chunk)))
+        parts = self.find(chunk if feed else " " + chunk)
+        return b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in parts])
 
 
 class WordEncoder:
-    """Encodes texts by way of their distinct pre-tokens, each given to the tokenizers library once.
+    """Encodes texts by way of their distinct pre-tokens, given to the tokenizers library once each (while remembered).
 
     Special tokens' strings in a text are ordinary text. The vocabulary must be byte-level, without a
     normalizer or a blank put before the text.
     """
 
-    WORDS, CHUNKS = 400_000, 200_000  # kept before the older half goes
+    WORDS, CHUNKS = 200_000, 650_000  # kept before the older half goes
 
     def __init__(self, model: str):
         import json
@@ -261,7 +268,7 @@ class WordEncoder:
             raise ValueError("ids must fit 16 bits")
         self.find = regex.compile(pattern_for_regex(BYTE_LEVEL_PATTERN)).findall
         self.words = Words(tokenizer.model, self.WORDS)
-        self.chunks = Chunks(self.find, self.words, self.CHUNKS)
+        self.chunks = Chunks(tokenizer.model, self.find, self.words, self.CHUNKS)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 16-bit numbers."""
