@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from meterloom.llm import byte_bpe, centroid_lang, license_scan, quality_rules, simhash, wavelet
+from meterloom.llm import byte_bpe, centroid_lang, kd_shards, license_scan, quality_rules, simhash, wavelet
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.query,
         "op3_byte_bpe": byte_bpe.query,
+        "op4_kd_shards": kd_shards.query,
         "op5_simhash": simhash.query,
         "op8_license_scan": license_scan.query,
         "op9_centroid_lang": centroid_lang.query,
