@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import byte_bpe, centroid_lang, decontam, kd_shards, license_scan, quality_rules, simhash, wavelet
+from meterloom.llm import byte_bpe, centroid_lang, decontam, kd_shards, license_scan, quality_rules, simhash, url_lm, wavelet
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_byte_bpe": byte_bpe.query,
         "op4_kd_shards": kd_shards.query,
         "op5_simhash": simhash.query,
+        "op6_url_lm": url_lm.query,
         "op7_decontam": decontam.query,
         "op8_license_scan": license_scan.query,
         "op9_centroid_lang": centroid_lang.query,
@@ -21,6 +22,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.sql(),
+        "op6_url_lm": url_lm.query,
         "op7_decontam": decontam.query,
         "op8_license_scan": license_scan.sql(),
     }
