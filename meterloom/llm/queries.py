@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from meterloom.llm import byte_bpe, centroid_lang, decontam, kd_shards, license_scan, quality_rules, simhash, url_lm, wavelet
+from meterloom.llm import byte_bpe, centroid_lang, decontam, kd_shards, license_scan, line_crf, quality_rules, simhash, url_lm, wavelet
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_line_crf": line_crf.query,
         "op3_byte_bpe": byte_bpe.query,
         "op4_kd_shards": kd_shards.query,
         "op5_simhash": simhash.query,
