@@ -125,8 +125,8 @@ class Items:
     def _mix(codes, width: int):
         import numpy as np
 
-        n = len(codes) - width + 1
-        keys = np.zeros(max(n, 0), np.uint64)
+        n = max(len(codes) - width + 1, 0)
+        keys = np.zeros(n, np.uint64)
         for i in range(width):
             keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
             keys ^= keys >> np.uint64(29)

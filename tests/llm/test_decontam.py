@@ -35,7 +35,7 @@ def make(seed=4):
             at = rng.randrange(len(words) + 1)
             words[at:at] = own
         docs.append((i, rng.choice([" ", "\n", "  "]).join(words)))
-    return items, [*docs, (500, None), (501, ""), (502, "a b " * 30), (503, "x")]
+    return items, [*docs, (500, None), (501, ""), (502, "a b " * 30), (503, "x"), (504, "x y"), (505, "x y z")]
 
 
 def test_matches_against_all_windows(spark):
