@@ -97,6 +97,16 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation of numbers: planned on the driver, without Python on executors."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    text = lambda v, kind: f"CAST({'NULL' if v is None else repr(v)} AS {kind})"
+    values = ", ".join(f"({', '.join(text(v, k) for v, k in zip(r, kinds, strict=True))})" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's estimate of a table's size; nothing runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

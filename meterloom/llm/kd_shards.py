@@ -1,13 +1,14 @@
 """Sharding by a k-d tree over metadata (operator 4), under the law `bytes`: sizes near equal.
 
-Every document is a point: size, mean word length, share of non-ASCII bytes and share of capitals, all
-taken from the text, so equal texts are one point; a hash of the text orders points that agree. A node
+Every document is a point: size, share of blanks and share of non-ASCII bytes, all taken from the
+text, so equal texts are one point; a hash of the text orders points that agree. A node
 that is to become k leaves is split along its widest dimension (in units of the whole table's range)
 at the weighted median, or the k//2 : k - k//2 quantile, until each leaf is one shard. Leaves reach
 target_bytes where that is given instead of a count.
 
 The median is found by histograms: each round counts the bytes of BINS bins per open node and narrows
-to one bin, then to the text hash where values agree; the driver sees at most nodes x BINS sums.
+to one bin, then to the text hash where values agree, until a bin holds no more than 1/FINE of a
+shard's bytes; the driver sees at most nodes x BINS sums.
 Assignment is an expression over a point's own columns, so it needs no join.
 
 Groups of equal texts stay in one shard unless they hold more than 1/PIECES of a shard's bytes; such
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from meterloom.llm import common
 
 SHARDS = 24
-BINS = 512
+BINS = 4096
+FINE = 1000
 PIECES = 50
 LEAST = -(1 << 62)
-DIMENSIONS = ("x0", "x1", "x2", "x3")
+DIMENSIONS = ("x0", "x1", "x2")
 #: Rows of one task when slots are numbered.
 SLOT_ROWS = 100_000
 
@@ -37,13 +39,13 @@ SLOT_ROWS = 100_000
 def points(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, the text's hash and its coordinates (integers)."""
     t = F.col("__text")
-    blanks = F.regexp_count(t, F.lit("[ \\n\\t]"))
+    blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     n = F.octet_length(t).cast("long")
     per = lambda c: F.coalesce(F.floor(F.try_divide(c * 10_000, n)), F.lit(0)).cast("long")
     return rows.select(
         "key", (n + 8).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t, F.lit("shard")).alias("h"),
-        F.floor(F.log2(n + 8) * 1000).cast("long").alias("x0"), per(blanks).alias("x1"), per(n - F.length(t)).alias("x2"), per(F.regexp_count(t, F.lit("[A-Z]"))).alias("x3"),
+        F.floor(F.log2(n + 8) * 1000).cast("long").alias("x0"), per(blanks).alias("x1"), per(n - F.length(t)).alias("x2"),
     )
 
 
@@ -55,7 +57,7 @@ def with_order(rows: DataFrame, shards: int) -> DataFrame:
     found = common.bounded(groups, shards * PIECES, "oversized groups")
     if not found:
         return rows.withColumn("o", F.shiftright("h", 2))
-    pieces = F.broadcast(rows.sparkSession.createDataFrame([(r.h, int(2 * r.bytes // most) + 1) for r in found], "h long, pieces long"))
+    pieces = F.broadcast(common.small_table(rows.sparkSession, [(r.h, int(2 * r.bytes // most) + 1) for r in found], "h bigint, pieces bigint"))
     piece = F.pmod(F.xxhash64("key", F.lit("piece")), F.col("pieces"))
     return rows.join(pieces, "h", "left").withColumn("o", F.shiftright(F.when(F.col("pieces").isNull(), F.col("h")).otherwise(F.xxhash64("h", piece)), 2)).drop("pieces")
 
@@ -81,7 +83,8 @@ class Node:
 def grow(rows: DataFrame, shards: int) -> Node:
     """The tree over rows (size, x0.., o)."""
     root = Node(0, shards)
-    whole = rows.agg(*[f(c).alias(f"{n}{c}") for c in DIMENSIONS for n, f in (("a", F.min), ("b", F.max))]).first()
+    whole = rows.agg(F.sum("size").alias("w"), *[f(c).alias(f"{n}{c}") for c in DIMENSIONS for n, f in (("a", F.min), ("b", F.max))]).first()
+    fine = (whole.w or 0) // (shards * FINE)
     scale = {c: max(1, (whole[f"b{c}"] or 0) - (whole[f"a{c}"] or 0)) for c in DIMENSIONS}
     while open_ := [x for x in root.leaves() if x.shards > 1]:
         at = rows.withColumn("n", root.column(lambda x: x.first if x.shards > 1 else -1)).where("n >= 0")
@@ -95,14 +98,14 @@ def grow(rows: DataFrame, shards: int) -> Node:
             # Bytes wanted below the cut; the open interval of values, then of the order at one value.
             search[x.first] = {"node": x, "want": r.w * (x.shards // 2) / x.shards if r else 0, "lo": lo, "hi": hi, "ao": r.ao if r else 0, "bo": r.bo if r else 0, "below": 0, "stage": "value" if r else "done"}
             x.cut, x.cut_o = lo, LEAST
-        _narrow(at, search)
+        _narrow(at, search, fine)
         for x in open_:
             k = x.shards // 2
             x.low, x.high = Node(x.first, k), Node(x.first + k, x.shards - k)
     return root
 
 
-def _narrow(at: DataFrame, search: dict) -> None:
+def _narrow(at: DataFrame, search: dict, fine: int) -> None:
     """Rounds of histograms until every node has its cut."""
     while todo := {k: s for k, s in search.items() if s["stage"] != "done"}:
         for s in todo.values():
@@ -112,7 +115,7 @@ def _narrow(at: DataFrame, search: dict) -> None:
             s["step"] = -(-(s["hi"] - s["lo"] + 1) // BINS)
         # One row per open node: at most `shards` rows.
         nodes = [(k, DIMENSIONS.index(s["node"].by), s.get("value"), s["lo"], s["hi"], s["step"]) for k, s in todo.items()]
-        nodes = F.broadcast(at.sparkSession.createDataFrame(nodes, "n int, d int, value long, lo long, hi long, step long"))
+        nodes = F.broadcast(common.small_table(at.sparkSession, nodes, "n int, d int, value bigint, lo bigint, hi bigint, step bigint"))
         by = F.element_at(F.array(*DIMENSIONS), F.col("d") + 1)
         seen = at.join(nodes, "n").withColumn("v", F.when(F.col("value").isNull(), by).when(by == F.col("value"), F.col("o")))
         bins = seen.where("v BETWEEN lo AND hi").select("n", "size", F.expr("int((v - lo) div step)").alias("bin"))
@@ -132,9 +135,9 @@ def _narrow(at: DataFrame, search: dict) -> None:
                 s["stage"] = "done"
                 continue
             s["lo"], s["hi"] = lo + chosen[0] * step, min(s["hi"], lo + (chosen[0] + 1) * step - 1)
-            if s["stage"] == "order" and step == 1:  # one group or piece: on the side that it fits better
-                fits_below = s["below"] + chosen[1] - s["want"] < s["want"] - s["below"]
-                node.cut, node.cut_o = s["value"], s["lo"] + fits_below
+            if chosen[1] <= fine or s["stage"] == "order" and step == 1:  # little, or one group: on the side that it fits better
+                cut = s["hi"] + 1 if s["below"] + chosen[1] - s["want"] < s["want"] - s["below"] else s["lo"]
+                node.cut, node.cut_o = (cut, LEAST) if s["stage"] == "value" else (s["value"], cut)
                 s["stage"] = "done"
 
 

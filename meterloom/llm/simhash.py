@@ -187,7 +187,7 @@ def links(fps: DataFrame, radius: int = RADIUS, least_hot: int = 4096) -> DataFr
         if not hot:
             part = _bucket_edges(rows, radius, level)
             return (found.unionByName(part) if found is not None else part).distinct()
-        hot_df = F.broadcast(rows.sparkSession.createDataFrame(hot, "bucket long"))
+        hot_df = F.broadcast(common.small_table(rows.sparkSession, hot, "bucket bigint"))
         part = _bucket_edges(rows.join(hot_df, "bucket", "left_anti"), radius, level)
         found = found.unionByName(part) if found is not None else part
         rows = rows.join(hot_df, "bucket", "left_semi")

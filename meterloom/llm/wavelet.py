@@ -342,7 +342,7 @@ def with_starts(files: DataFrame) -> DataFrame:
     for r in parts:
         rows.append((r.part, begun))
         begun += r.n
-    base = files.sparkSession.createDataFrame(rows, "part int, __base long")
+    base = common.small_table(files.sparkSession, rows, "part int, __base bigint")
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = files.select("part", "chunk", "n_tokens").withColumn("__in", F.coalesce(before, F.lit(0)))
     starts = starts.join(F.broadcast(base), "part").select("part", "chunk", (F.col("__base") + F.col("__in")).alias("start"))
