@@ -67,10 +67,10 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     all other rows meet by shuffle.
     """
     hot = hot_keys(left, key)
-    if not hot:
-        return left.join(right, key, how)
+    if not hot:  # merged, as the planner's estimate of an exploded side is far too small to broadcast by
+        return left.join(right.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = left.where(~is_hot).join(right.where(~is_hot), key, how)
+    cold = left.where(~is_hot).join(right.where(~is_hot).hint("merge"), key, how)
     return cold.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
 
 
