@@ -236,7 +236,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     rows = common.stash(classes(docs, key, text), "near-copies")
     keepers = rows.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    kept = docs.join(keepers, F.col(key) == F.col("__kept"), "left_semi")
+    # Merged at every size: the keepers grow with the documents, so they are never broadcast.
+    kept = docs.join(keepers.hint("merge"), F.col(key) == F.col("__kept"), "left_semi")
     if not rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         kept = kept.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("__place = 1").drop("__place")
     if rows.where(F.col(key).isNull()).isEmpty():
