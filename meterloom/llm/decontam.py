@@ -74,23 +74,39 @@ class MultiIndex:
         self.width = 64 // blocks
         reach = radius // blocks  # some block differs in no more bits than this
         flips = [sum(1 << b for b in bits) for n in range(min(reach, self.width) + 1) for bits in itertools.combinations(range(self.width), n)]
-        self.table: list[dict[int, list[int]]] = [{} for _ in range(blocks)]
-        for i, fp in enumerate(self.fps.tolist()):
-            for j in range(blocks):
-                value = fp >> (j * self.width) & ((1 << self.width) - 1)
-                for f in flips:
-                    self.table[j].setdefault(value ^ f, []).append(i)
+        # Per block: for every value the fingerprints within reach, one after another.
+        self.starts, self.lists = [], []
+        values = np.arange(1 << self.width, dtype=np.uint64)
+        for j in range(blocks):
+            own = self.fps >> np.uint64(j * self.width) & np.uint64((1 << self.width) - 1)
+            order = np.argsort(own, kind="stable")
+            first = np.searchsorted(own[order], values)
+            count = np.searchsorted(own[order], values, side="right") - first
+            near = np.array([[v ^ f for f in flips] for v in range(1 << self.width)], np.int64)
+            n = count[near].sum(axis=1)
+            self.starts.append(np.concatenate([[0], np.cumsum(n)]))
+            picks = count[near].ravel()
+            self.lists.append(order[np.repeat(first[near].ravel() - np.cumsum(picks) + picks, picks) + np.arange(picks.sum())])
+
+    def near_many(self, prints):
+        """(place in prints, place in fps) of all pairs within the radius, in order."""
+        import numpy as np
+
+        pairs = []
+        for j in range(self.blocks):
+            own = (prints >> np.uint64(j * self.width) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+            begin, n = self.starts[j][own], self.starts[j][own + 1] - self.starts[j][own]
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pairs.append(np.repeat(np.arange(len(prints)), n) * len(self.fps) + self.lists[j][at])
+        both = np.unique(np.concatenate(pairs))
+        row, item = np.divmod(both, max(1, len(self.fps)))
+        close = np.bitwise_count(prints[row] ^ self.fps[item]) <= self.radius
+        return row[close], item[close]
 
     def near(self, fp: int) -> list[int]:
         import numpy as np
 
-        found: set[int] = set()
-        for j in range(self.blocks):
-            found.update(self.table[j].get(fp >> (j * self.width) & ((1 << self.width) - 1), ()))
-        if not found:
-            return []
-        at = np.fromiter(found, np.int64, len(found))
-        return sorted(at[np.bitwise_count(self.fps[at] ^ np.uint64(fp)) <= self.radius].tolist())
+        return self.near_many(np.array([fp], np.uint64))[1].tolist()
 
 
 class Items:
@@ -155,7 +171,7 @@ class Items:
             hit = bits[(mixed & np.uint64((1 << 20) - 1)).astype(np.int64)]
             at = np.flatnonzero(hit)
             if len(at):
-                hit[at] = np.isin(mixed[at], keys)
+                hit[at] = keys[np.minimum(np.searchsorted(keys, mixed[at]), len(keys) - 1)] == mixed[at]
                 if hit.any():
                     hits[width] = hit
         return self._verify(words, hits) if hits else []
@@ -192,14 +208,16 @@ class Items:
                     votes = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits(int(run[0]), int(run[-1]) + n), axis=0)])
                     offsets = run - run[0]
                     prints = pack_bits(votes[offsets + n] - votes[offsets])
-                    for start, fp in zip(run.tolist(), prints.tolist(), strict=True):
-                        for j in index.near(fp):
-                            i = at[j]
-                            similarity = weighted_similarity(Counter(shingles_of(words[start : start + size], self.width)), self.weights[i])
-                            if similarity >= self.similarity - 1e-12:
-                                own = (-similarity, start, start + size)
-                                if i not in best or own < best[i]:
-                                    best[i] = own
+                    weights = {}
+                    for w, j in zip(*(x.tolist() for x in index.near_many(prints)), strict=True):
+                        start, i = int(run[w]), at[j]
+                        if start not in weights:
+                            weights[start] = Counter(shingles_of(words[start : start + size], self.width))
+                        similarity = weighted_similarity(weights[start], self.weights[i])
+                        if similarity >= self.similarity - 1e-12:
+                            own = (-similarity, start, start + size)
+                            if i not in best or own < best[i]:
+                                best[i] = own
         return [(self.ids[i], a, b, -s) for i, (s, a, b) in sorted(best.items(), key=lambda x: (x[1][1], x[0]))]
 
 
