@@ -42,7 +42,8 @@ def _pack(*parts: bytes) -> bytes:
 
     import zstandard
 
-    return zstandard.ZstdCompressor(level=9).compress(struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts))
+    how = zstandard.ZstdCompressionParameters.from_level(9, enable_ldm=True, window_log=25)
+    return zstandard.ZstdCompressor(compression_params=how).compress(struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -50,7 +51,7 @@ def _unpack(blob: bytes) -> list[bytes]:
 
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = zstandard.ZstdDecompressor(max_window_size=1 << 26).decompress(blob)
     (n,) = struct.unpack_from("<I", raw)
     sizes, at, out = struct.unpack_from(f"<{n}I", raw, 4), 4 + 4 * n, []
     for size in sizes:
@@ -95,9 +96,11 @@ def _split(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, blo
             made += 1
             words = list(numbered)
             seq = np.concatenate(seqs) if seqs else np.empty(0, np.uint32)
-            order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # rank -> number
+            times = np.bincount(seq, minlength=len(words))
+            order = np.argsort(-times, kind="stable")  # rank -> number
             rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
+            # Words that occur once come last, in order of sight: one code stands for them all.
+            rank[order] = np.minimum(np.arange(len(words), dtype=np.uint32), np.count_nonzero(times > 1))
             sizes = np.fromiter(map(len, seqs), np.uint32, len(seqs))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys[0].schema) as w:
@@ -105,7 +108,7 @@ def _split(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, blo
                     w.write_batch(k)
             raw = [words[i].encode() for i in order.tolist()]
             place = (np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets).astype(np.uint16)
-            rows = [(block, -1, _pack(sink.getvalue().to_pybytes(), sizes.tobytes(), _planes(rank[seq] if len(seq) else seq), (place & 255).astype(np.uint8).tobytes() + (place >> 8).astype(np.uint8).tobytes()))]
+            rows = [(block, -1, _pack(sink.getvalue().to_pybytes(), sizes.tobytes(), _planes(rank[seq] if len(seq) else seq), (place & 255).astype(np.uint8).tobytes() + (place >> 8).astype(np.uint8).tobytes(), np.uint32(np.count_nonzero(times > 1)).tobytes()))]
             by = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[by], np.arange(buckets + 1))
             for b in range(buckets):
@@ -194,7 +197,7 @@ def _reassemble(rows: DataFrame, ranks: bytes, key: str, key_type, digest: bool)
         names = [str(i) for i in range(len(table))]
 
         def finish(docs, found):
-            keys, sizes, planes, places = docs
+            keys, sizes, planes, places, first_once = docs
             low, high = np.frombuffer(places, np.uint8).reshape(2, -1).astype(np.uint16)
             place = low | high << 8  # bucket of every word, in order of rank; within a bucket words keep that order
             by = np.argsort(place, kind="stable")
@@ -208,7 +211,10 @@ def _reassemble(rows: DataFrame, ranks: bytes, key: str, key_type, digest: bool)
                 flats.append(flat)
                 begun += len(flat)
             flat = np.concatenate(flats)
-            seq = _from_planes(planes)
+            seq = _from_planes(planes).copy()
+            once = int(np.frombuffer(first_once, "<u4")[0])
+            single = seq == once
+            seq[single] = once + np.arange(np.count_nonzero(single), dtype=np.uint32)
             at = 0
             reader = pa.ipc.open_stream(keys)
             sizes = iter(np.frombuffer(sizes, np.uint32).tolist())
