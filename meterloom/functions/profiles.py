@@ -12,13 +12,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 96
 SUMMER, WINTER = (5, 6, 7, 8), (11, 12, 1, 2)
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """df behind a step that the optimizer doesn't move filters or expressions across.
+
+    A filter on a column that stands on 96 others, which stand on 96 more, would otherwise be rewritten in
+    terms of the first table and grow beyond any plan's size.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__r")).select("__r.*")
+
+
 def slots(a: float = 0, b: float = 24) -> list[int]:
     """The slots of the window [a, b)."""
     lo, hi = int(a * 4), int(b * 4)

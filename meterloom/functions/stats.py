@@ -72,6 +72,23 @@ def average_rank(by: list[str], order: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
+def percentile_ranks(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """(value, pct): the rank of every distinct value over all rows, ties averaged, divided by the row count.
+
+    Values are counted first; buckets by approximate quantiles of the distinct values are ranked apart and
+    offset by the totals of the buckets before them, so no task orders the whole table.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)]).alias("c"))
+    b = counts.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter(F.coalesce("c", F.array()), lambda x: x < F.col("value")))).drop("c")
+    totals = b.groupBy("b").agg(F.sum("n").alias("t"))
+    lists = totals.agg(F.sort_array(F.collect_list(F.struct("b", "t"))).alias("l"), F.sum("t").alias("all"))  # at most `buckets` pairs
+    before = F.sum("n").over(Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    x = b.withColumn("inside", F.coalesce(before, F.lit(0))).crossJoin(F.broadcast(lists))
+    offset = F.aggregate(F.filter("l", lambda p: p["b"] < F.col("b")), F.lit(0).cast("long"), lambda s, p: s + p["t"])
+    return x.select("value", ((offset + F.col("inside") + (F.col("n") + 1) / 2) / F.col("all")).alias("pct"))
+
+
 def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve per group by rank sums; null where one class is missing."""
     ranked = df.withColumn("__r", average_rank(by, score))

@@ -30,7 +30,7 @@ def days_table(days: DataFrame) -> DataFrame:
         p.balanced([F.when(F.abs(F.coalesce(p.at(kw, k + 1), F.lit(0.0)) - F.coalesce(p.at(kw, k), F.lit(0.0))) > RAMP_KW, F.lit(1)).otherwise(F.lit(0)) for k in range(95) if {k, k + 1} <= set(p.slots(22, 6))]).cast("long").alias("ramps"),
         p.window_count(kw, test=lambda v: (v > EXPORT_NOISE_KW) & (v >= 0.9 * p.largest(kw))).alias("near_max"),
     )
-    return d.withColumns({"bursts": p.rising_edges(c("active")), "charge_bursts": p.rising_edges(c("charging")), "plateau": st.ratio(c("near_max"), p.ones(c("active")))}).drop("active", "charging", "near_max")
+    return p.sealed(d).withColumns({"bursts": p.rising_edges(c("active")), "charge_bursts": p.rising_edges(c("charging")), "plateau": st.ratio(c("near_max"), p.ones(c("active")))}).drop("active", "charging", "near_max")
 
 
 def bat20(days: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def reduce_windows(windows: DataFrame) -> DataFrame:
     d = d.withColumn("base", F.coalesce(p.quantile(w, 0.1, c("n_valid")), F.lit(0.0)))
     d = d.withColumn("above", p.each(w, lambda v, k: F.coalesce(v - c("base"), F.lit(0.0))))
     high = lambda v, k: (v >= STEP_KW) & p.at(w, k).isNotNull()
-    d = d.withColumn("high", p.bits(c("above"), high))
+    d = p.sealed(d.withColumn("high", p.bits(c("above"), high)))
     start, n = p.longest_run(c("high"))
     d = d.withColumns({"start": start, "blk_len": n.cast("long")})
     block = F.slice("above", F.coalesce(c("start"), F.lit(0)) + 1, F.greatest(c("blk_len").cast("int"), F.lit(0)))
@@ -34,11 +34,11 @@ def reduce_windows(windows: DataFrame) -> DataFrame:
     close = F.size(F.filter(core, lambda v: F.abs(v - c("blk_level")) <= FLAT_TOL * F.greatest(c("blk_level"), F.lit(1e-6))))
     hour = (((c("start") + 48) % 96) + 0.5) / 4
     step = F.greatest(*[F.coalesce(p.at(w, k), F.lit(0.0)) - F.coalesce(p.at(w, k - 1), F.lit(0.0)) for k in range(1, 96)])
-    return d.select(
+    return p.sealed(d.select(
         "mp_id", "date", "n_valid", p.window_sum(w).alias("tot"), "base", F.array_max("above").alias("vmax_over_base"), (p.ones(c("high")) / 4).alias("hours_high"), (p.window_sum(c("above"), f=lambda v, k: F.when(high(v, k), v)) / 4).alias("e_high"),
         p.run_count(c("high"), MIN_RUN).alias("n_runs"), "blk_len", "blk_level", F.when(some, F.aggregate("block", F.lit(0.0), lambda s, v: s + v) / 4).otherwise(F.lit(0.0)).alias("blk_energy"),
         F.when(some, close / F.greatest(F.size(core), F.lit(1))).otherwise(F.lit(0.0)).alias("blk_flat_share"), F.when(some, hour).alias("blk_start_h"), step.alias("step_up"),
-    )
+    ))
 
 
 def ev20(days: DataFrame) -> DataFrame:

@@ -17,13 +17,13 @@ def days_table(days: DataFrame) -> DataFrame:
     d = days.where("channel = 'import'").select("mp_id", "date", "kw").withColumn("n_valid", p.window_count(kw)).withColumn("sorted", F.sort_array("kw"))
     d = d.withColumns({"base": F.coalesce(p.sorted_quantile(c("sorted"), c("n_valid"), 0.1), F.lit(0.0)), "vp99": F.coalesce(p.sorted_quantile(c("sorted"), c("n_valid"), 0.99), F.lit(0.0))})
     run = lambda v: F.coalesce(v - c("base") >= RUN_KW, F.lit(False))
-    d = d.withColumn("run", p.bits(kw, lambda v, k: run(v)))
+    d = p.sealed(d.withColumn("run", p.bits(kw, lambda v, k: run(v))))
     both = [(k, run(p.at(kw, k)) & run(p.at(kw, k - 1))) for k in range(1, 96)]
-    return d.select(
+    return p.sealed(d.select(
         "mp_id", "date", "n_valid", p.window_sum(kw).alias("tot"), p.window_sum(kw, 2, 6).alias("early"), "base", F.greatest(F.coalesce(p.largest(kw), F.lit(0.0)), F.lit(0.0)).alias("vmax"), "vp99", (p.ones(c("run")) / 4).alias("run_hours"),
         F.coalesce(st.ratio(p.window_sum(kw, f=lambda v, k: F.when(run(v), v - c("base"))), p.ones(c("run"))), F.lit(0.0)).alias("run_level"), p.run_count(c("run"), MIN_RUN).alias("n_cycles"),
         F.coalesce(st.ratio(p.balanced([F.when(t, F.abs(p.at(kw, k) - p.at(kw, k - 1))).otherwise(F.lit(0.0)) for k, t in both]), p.balanced([F.when(t, F.lit(1)).otherwise(F.lit(0)) for _, t in both])), F.lit(0.0)).alias("run_jump"),
-    )
+    ))
 
 
 def hp21(days: DataFrame, temperature: DataFrame | None = None) -> DataFrame:

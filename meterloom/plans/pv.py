@@ -49,7 +49,7 @@ def days_table(days: DataFrame) -> DataFrame:
         p.window_count(kw).alias("n_valid"), p.window_count(kw, 9, 17).alias("n_valid_day"), p.window_count(kw, 22, 6).alias("n_valid_night"),
         p.hourly_means(kw).alias("hours"),
     )
-    return out.withColumn("min_hour", p.min_hour(F.col("hours"))).drop("hours")
+    return p.sealed(out).withColumn("min_hour", p.min_hour(F.col("hours"))).drop("hours")
 
 
 def _quality(i: Column, e: Column) -> list[Column]:
