@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.stats import rounded
+from meterloom.session import tune
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -15,7 +16,7 @@ def query(name: str, sql: str | None = None):
     """Register a function of (session, folder); its result's doubles are rounded to six digits."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: tidy(f(tune(spark), sf_dir))
         if sql:
             SQL[name] = sql
         return f
