@@ -85,11 +85,11 @@ def plateau_hours(q: DataFrame, base: DataFrame) -> DataFrame:
 
 def fixed_time(q: DataFrame, base: DataFrame) -> DataFrame:
     """How much episodes start within the same two hours of the clock: mp_id, starts, mass (share in the best two hours), active (days)."""
-    e = events(q, base, 1.5).where("n >= 2 AND idx = start").groupBy("mp_id", "k").agg(F.count(F.lit(1)).alias("n"))
-    days = events(q, base, 1.5).where("n >= 2 AND idx = start").groupBy("mp_id").agg(F.countDistinct("date").alias("active"))
-    # Each start counts for the eight two-hour windows that hold it.
-    spread = e.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(7)))).groupBy("mp_id", ((F.col("k") - F.col("at") + 96) % 96).alias("win")).agg(F.sum("n").alias("n"))
-    return e.groupBy("mp_id").agg(F.sum("n").alias("starts")).join(spread.groupBy("mp_id").agg(F.max("n").alias("top")), "mp_id").join(days, "mp_id").select("mp_id", "starts", (F.col("top") / F.col("starts")).alias("mass"), "active")
+    e = events(q, base, 1.5).where("n >= 2 AND idx = start")
+    counts = [st.count_if(F.col("k") == k).alias(f"c{k}") for k in range(96)]
+    g = e.groupBy("mp_id").agg(F.count(F.lit(1)).alias("starts"), F.size(F.collect_set("date")).alias("active"), *counts)
+    top = F.greatest(*[p.balanced([F.col(f"c{(k + i) % 96}") for i in range(8)]) for k in range(96)])
+    return g.select("mp_id", "starts", (top / F.col("starts")).alias("mass"), "active")
 
 
 def cold_high_load(q: DataFrame, flags: DataFrame) -> DataFrame:
