@@ -28,7 +28,7 @@ def stitch(held: dict, arrived: dict, done_before: int | None) -> tuple[list[tup
         elif done_before is not None and day + 2 <= done_before:
             out.append((day, days[day][48:] + [None] * 48))
     emitted = {d for d, _ in out}
-    # A day that has been emitted stays until its own morning has been lent to the day before it.
+    # Days come in order of time: one that arrives after its successor has been emitted goes without a morning.
     rest = {d: v for d, v in days.items() if d not in emitted}
     return out, rest
 
