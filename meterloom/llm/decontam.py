@@ -2,13 +2,13 @@
 
 Words: A-Z lower-cased, runs of ``[^\\x20\\x09-\\x0D]``. An item is the multiset of its 5-word shingles
 (fewer words: the whole sequence). For every item length, windows of that many words slide over each
-document. A window's SimHash is looked up in a multi-index of the items' fingerprints: the 64 bits
+document; a document of fewer words is one window as a whole. A window's SimHash is looked up in a multi-index of the items' fingerprints: the 64 bits
 are cut into blocks, and two fingerprints within the radius agree in some block up to
 radius // blocks bits, so listing the neighbours of every block value finds all items within the radius.
 Candidates are verified by exact weighted Jaccard similarity of the shingle multisets.
 
-Windows are only formed where they can pass: at similarity s, at least s of a window's shingles must
-be shingles of some item, so windows with fewer known shingles are skipped without loss.
+Windows are only formed where they can pass: at similarity s, a window must hold at least s times as
+many known shingles (those of any item) as the item has, so windows with fewer are skipped without loss.
 
 The items are the stated query set. They are read in blocks of MOST_ITEMS rows, each small enough to
 send with the tasks, and every block goes over all documents in one scan each.
@@ -196,11 +196,12 @@ class Items:
                 return simhash_bits(np.array([made[i] for i in range(a, b)], np.uint64))
 
             for size, (at, index) in self.by_size.items():
-                if min(self.width, size) != width or size > len(words):
+                if min(self.width, size) != width:
                     continue
-                n = size - width + 1  # shingles of a window
-                starts = np.arange(max(0, int(places[0]) - n + 1), min(len(words) - size, int(places[-1])) + 1)
-                starts = starts[before[starts + n] - before[starts] >= self.similarity * n - 1e-9]
+                length = min(size, len(words))  # a document shorter than the items is one window
+                n = length - width + 1  # shingles of a window
+                starts = np.arange(max(0, int(places[0]) - n + 1), min(len(words) - length, int(places[-1])) + 1)
+                starts = starts[before[starts + n] - before[starts] >= self.similarity * (size - width + 1) - 1e-9]
                 if not len(starts):
                     continue
                 cuts = np.flatnonzero(np.diff(starts) > n) + 1
@@ -212,10 +213,10 @@ class Items:
                     for w, j in zip(*(x.tolist() for x in index.near_many(prints)), strict=True):
                         start, i = int(run[w]), at[j]
                         if start not in weights:
-                            weights[start] = Counter(shingles_of(words[start : start + size], self.width))
+                            weights[start] = Counter(shingles_of(words[start : start + length], self.width))
                         similarity = weighted_similarity(weights[start], self.weights[i])
                         if similarity >= self.similarity - 1e-12:
-                            own = (-similarity, start, start + size)
+                            own = (-similarity, start, start + length)
                             if i not in best or own < best[i]:
                                 best[i] = own
         return [(self.ids[i], a, b, -s) for i, (s, a, b) in sorted(best.items(), key=lambda x: (x[1][1], x[0]))]
