@@ -8,10 +8,11 @@ difference per character exceeds a threshold, calibrated on seeds that the model
 that at most FALSE_BLOCKS of the accepted ones exceed it.
 
 Seeds: accepted are the URLs that a rule allows; rejected are those that a rule blocks and those whose
-host has one of REJECT_WORDS as a part. The models read what the rules don't fix: the labels left of the
-registrable domain (or the host, where there are none) and the path after its first segment, over an
-alphabet of 41 symbols, so the tables of orders 0 to 2 have at most 41, 41**2 and 41**3 rows
-and may be broadcast; higher orders meet by shuffle.
+host has one of REJECT_WORDS as a part. The models read all that follows ``://``: host, path, query and
+fragment. Of a seed under a rule, the text that the rule itself matched isn't learned. All URLs that are
+no seeds teach both models alike, with the weight of UNLABELLED URLs, so that common text that only one
+kind of seed shows, such as ``.com/``, counts little. The alphabet has 41 symbols, so the tables of
+orders 0 to 2 have at most 41, 41**2 and 41**3 rows and may be broadcast; higher orders meet by shuffle.
 
 A null URL or one without ``://`` has an empty host and path, no rule, and the method's verdict on an empty
 text (allow). Without accepted or without rejected seeds every URL outside the rules is allowed.
@@ -33,6 +34,8 @@ ORDER = 4
 FALSE_BLOCKS = 0.005
 #: Share of the seeds, by hash, that calibrates.
 CALIBRATION = 0.25
+#: The URLs that are no seeds teach each model as much as this many URLs.
+UNLABELLED = 10
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.-/_"  # any other character becomes *
 
 
@@ -57,17 +60,17 @@ def rule_of(rules=RULES, host: str = "host", path: str = "path") -> tuple[Column
     return (rule, verdict) if rule is not None else (null, null)
 
 
-def model_text(host: str = "host", path: str = "path") -> Column:
-    """What the models read of a URL."""
-    labels = F.regexp_replace(F.col(host), r"\.[^.]+\.[^.]+$", "")
-    rest = F.regexp_extract(F.col(path), r"^/[^/]*(/.*)$", 1)
-    return F.regexp_replace(F.lower(F.concat(labels, rest)), f"[^{ALPHABET.replace('-', '')}-]", "*")
+def model_text(url: str = "url") -> Column:
+    """What the models read of a URL: all that follows ``://``."""
+    at = F.locate("://", F.col(url))
+    rest = F.when(at > 0, F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3)")).otherwise(F.lit(""))
+    return F.regexp_replace(F.lower(F.coalesce(rest, F.lit(""))), f"[^{ALPHABET.replace('-', '')}-]", "*")
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    """texts (t, ...) exploded to its characters with their contexts: g has ORDER characters and the next one."""
+    """texts (t, ...) exploded to its characters with their contexts: i is the place, g has ORDER characters and the next one."""
     padded = F.concat(F.lit("^" * ORDER), F.col("t"), F.lit("$"))
-    return texts.withColumn("g", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))))
+    return texts.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))).alias("i", "g"))
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
@@ -89,18 +92,25 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, reject_words=REJECT_WORDS) -> DataFrame:
     """One row per row of pages: key, host, path, rule, verdict and llr (per character; null under a rule)."""
-    rows = parse(pages.select(key, F.col(url).cast("string").alias("__url")), "__url").drop("__url")
+    rows = parse(pages.select(key, F.col(url).cast("string").alias("__url")), "__url")
     rule, says = rule_of(rules)
     listed = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*[F.lit(w) for w in reject_words])) if reject_words else F.lit(False)
-    rows = rows.select(key, "host", "path", rule.alias("rule"), says.alias("says"), model_text().alias("t"), listed.alias("listed"))
+    rows = rows.select(key, "host", "path", rule.alias("rule"), says.alias("says"), model_text("__url").alias("t"), listed.alias("listed"))
+    # The rule's own text stands once in the URL, from the end of the host on.
+    rows = rows.withColumn("at", F.length("host") - F.length(F.substring_index("rule", "/", 1)))
     rows = common.stash(rows.withColumn("seed", F.when((F.col("says") == "block") | F.col("listed"), "r").when(F.col("says") == "allow", "a")), "urls")
     # Distinct texts with their seeds' counts; a text's seeds teach or calibrate together.
     n = lambda s: F.sum((F.coalesce(F.col("seed"), F.lit("")) == s).cast("long"))
-    texts = rows.groupBy("t").agg(n("a").alias("sa"), n("r").alias("sr"))
     held = F.pmod(F.xxhash64("t", F.lit("calibrate")), F.lit(1000)) < int(1000 * CALIBRATION)
-    texts = common.stash(texts.withColumn("held", held), "url-texts")
+    ruled = common.stash(rows.groupBy("t", "rule", "at").agg(n("a").alias("sa"), n("r").alias("sr"), n("").alias("free")).withColumn("held", held), "url-ruled")
+    texts = common.stash(ruled.groupBy("t", "held").agg(F.sum("sa").alias("sa"), F.sum("sr").alias("sr")), "url-texts")
+    # What a rule itself matched teaches neither model; URLs that are no seeds teach both alike, with a small weight in all.
+    fixed = F.coalesce((F.col("i") >= F.col("at")) & (F.col("i") < F.col("at") + F.length("rule")), F.lit(False))
     teach = lambda c: F.when(~F.col("held"), F.col(c)).otherwise(F.lit(0))
-    grams = _grams(texts).groupBy("g").agg(F.sum(teach("sa")).alias("a"), F.sum(teach("sr")).alias("r"))
+    free = ruled.agg(F.sum("free")).first()[0] or 0
+    common_part = F.round(F.sum("free") * F.lit(UNLABELLED / max(1, free)), 9)
+    taught = lambda c: F.sum(F.when(fixed, 0).otherwise(teach(c))) + common_part
+    grams = _grams(ruled).groupBy("g").agg(taught("sa").alias("a"), taught("sr").alias("r"))
     scored = common.stash(gram_scores(grams), "url-grams")
     each = common.join_unique(_grams(texts.select("t")), scored, "g", "inner")
     by_text = each.groupBy("t").agg(F.round(F.sum("llr") / F.count(F.lit(1)), 6).alias("llr"))
