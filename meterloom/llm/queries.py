@@ -23,7 +23,5 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.sql(),
-        "op6_url_lm": url_lm.query,
-        "op7_decontam": decontam.query,
         "op8_license_scan": license_scan.sql(),
     }
