@@ -207,6 +207,16 @@ def j16(spark, d):
     return ml.side_by_side({"pv": score(0, 2, "pv"), "ev": score(1, 3, "ev")})
 
 
+@query("j16_scores_of_all_houses", "WITH v AS (SELECT vec_id AS mp_id, embedding[1]::DOUBLE AS pv, embedding[2]::DOUBLE AS ev, coalesce(embedding[1] > 0, false) AS up FROM embeddings), a AS (SELECT mp_id, pv FROM v WHERE up), b AS (SELECT mp_id, ev FROM v WHERE NOT up OR ev > 0) SELECT mp_id, round(pv + 1e-9, 6) AS pv, round(ev + 1e-9, 6) AS ev FROM a FULL JOIN b USING (mp_id)")
+def j16_all(spark, d):
+    """Every id is in one table or both; the gaps follow the data."""
+    from meterloom.operators import ml
+
+    value = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    v = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("mp_id"), value(0).alias("pv"), value(1).alias("ev"), F.coalesce(value(0) > 0, F.lit(False)).alias("up"))
+    return ml.side_by_side({"pv": v.where("up").select("mp_id", "pv"), "ev": v.where("NOT up OR ev > 0").select("mp_id", "ev")})
+
+
 @query("j17_align_to_labels", f"{RG}, {HL} SELECT mp_id, CAST(label AS BIGINT) AS label, CAST(o_totalprice > 100000 AS BIGINT) AS big FROM hl JOIN orders ON CAST(o_orderkey AS VARCHAR) = mp_id")
 def j17(spark, d):
     o = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("mp_id"), (F.col("o_totalprice") > 100000).cast("long").alias("big"))
