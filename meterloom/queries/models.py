@@ -140,6 +140,15 @@ def s13(spark, d):
     return x.groupBy("mp_id", "channel").agg(F.sum(prof.window_sum(F.col("kw"))).alias("tot"), F.sum(prof.window_count(F.col("kw"))).alias("slots"))
 
 
+@query("s13_store_whole_round_trip", f"WITH {fx.METER_SQL} SELECT mp_id, channel, round(sum(r) + 1e-9, 6) AS tot, CAST(count(r) AS BIGINT) AS slots, CAST(count(DISTINCT date) AS BIGINT) AS days FROM kwr GROUP BY ALL")
+def s13_whole(spark, d):
+    """Writes a store of all meter-days and reads all of it back."""
+    at = shared_path(spark, "store-whole")
+    store.write(fx.meter_days(spark, d), at, buckets=16)
+    x = store.read(spark, at, n_buckets=16).select("mp_id", "channel", "date", prof.floored(F.col("kw")).alias("kw"))
+    return x.groupBy("mp_id", "channel").agg(F.sum(prof.window_sum(F.col("kw"))).alias("tot"), F.sum(prof.window_count(F.col("kw"))).alias("slots"), F.countDistinct("date").alias("days"))
+
+
 @query("s23_day_table_cache", f"WITH {fx.SERIES_SQL} SELECT mp_id, CAST(count(*) AS BIGINT) AS days FROM t GROUP BY mp_id")
 def s23(spark, d):
     """A day table kept as Parquet under a name with its pack and version, read instead of rebuilt."""
