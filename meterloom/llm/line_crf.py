@@ -6,7 +6,7 @@ a document's quality is their mean weighted by line length, mapped to a probabil
 curve that is fitted on the learning sample.
 
 The field is learned from document labels: all lines of a sampled document carry its label. The sample
-is bounded: about SAMPLE_ROWS labelled documents, chosen by a hash, each with at most SAMPLE_LINES lines.
+is bounded: about SAMPLE_ROWS labelled documents, chosen by a hash, each with all its lines. Documents that would make them more than MOST_LINES lines stay out whole.
 Scoring covers all lines of all texts. Inputs are the text alone.
 
 A null, empty or blank text has no lines; its line mean counts as 0. Documents labelled several times
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from meterloom.llm import common
 
 SAMPLE_ROWS = 4000
-SAMPLE_LINES = 400
+MOST_LINES = 1_600_000
 OWN, SHARED = 14, 8  # features of a line; those of them that its neighbours also lend
 FEATURES = OWN + 2 * SHARED + 2
 THRESHOLD = 0.3
@@ -255,11 +255,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
         for batch in batches:
             found = [line_features(t) for t in batch.column(0).to_pylist()]
-            cut = [(f[:SAMPLE_LINES].astype(np.float32).tobytes(), c[:SAMPLE_LINES].astype(np.float32).tobytes()) for f, c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x[0] for x in cut], pa.binary()), pa.array([x[1] for x in cut], pa.binary())], names=["k", "y", "f", "c"])
+            whole = [(f.astype(np.float32).tobytes(), c.astype(np.float32).tobytes()) for f, c in found]
+            n = pa.array([len(c) for _, c in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), n, pa.array([x[0] for x in whole], pa.binary()), pa.array([x[1] for x in whole], pa.binary())], names=["k", "y", "n", "f", "c"])
 
     kind = known.schema["k"].dataType.simpleString()
-    taken = sorted(common.bounded(rows.select("t", "k", "y").mapInArrow(run, f"k {kind}, y int, f binary, c binary"), 2 * sample_rows + 100, "sampled documents"), key=lambda r: r.k)
+    read = common.stash(rows.select("t", "k", "y").mapInArrow(run, f"k {kind}, y int, n long, f binary, c binary"), "crf-sample")
+    sizes = common.bounded(read.select("k", "n", F.xxhash64("k", F.lit("crf lines")).alias("h")), 2 * sample_rows + 100, "sampled documents")
+    if sum(r.n for r in sizes) > MOST_LINES:
+        left, fit_in = MOST_LINES, []
+        for r in sorted(sizes, key=lambda r: (r.h, r.k)):
+            if r.n <= left:
+                left -= r.n
+                fit_in.append((r.k,))
+        read = read.join(F.broadcast(docs.sparkSession.createDataFrame(fit_in, f"k {kind}")), "k")
+    taken = sorted(common.bounded(read, 2 * sample_rows + 100, "sampled documents"), key=lambda r: r.k)
     if not taken:
         return model
     f = [np.frombuffer(r.f, np.float32).reshape(-1, FEATURES) for r in taken]
