@@ -2,14 +2,19 @@
 
 Documents are dealt by ranges of doc_id; each task writes its ids, in ascending doc_id order, to files
 of about FILE_TOKENS ids. A file holds the documents' ids and lengths and one bit-plane per bit of the
-vocabulary. ``WaveletFile`` answers access, rank, count and select (the place of the k-th occurrence)
-from the planes without decoding the sequence, and decodes whole files plane by plane.
+vocabulary. A plane is stored in blocks of BLOCK bits, compressed one by one, with a directory of the
+ones before each block and of each block's place. ``WaveletFile`` answers access, rank, count and select
+(the place of the k-th occurrence) from the directories and one block a plane, without decoding the
+sequence; it also decodes whole files plane by plane.
 
 Files are values of a binary column of a table in the shared folder, so any storage that Spark
 reaches will do and a lost executor's files are written again by the retried task.
 
-Null and empty texts get the end id alone. Repeated doc_ids follow each other in the order of their
-texts; a null doc_id comes first. An empty table gives no files.
+Texts are encoded as the tokenizers library does where special tokens' strings are ordinary text. Null and empty
+texts get the end id alone. Very long texts make a file of their own, longer than FILE_TOKENS. Repeated
+doc_ids follow each other in the order of their texts, and rows that tie in both are alike; a null
+doc_id comes first. An empty table gives no files and no rows. Extra columns are dropped, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,14 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm import common
-from meterloom.llm.byte_bpe import pattern_for_regex
 
 FILE_TOKENS = 2 << 20
 END_ID = 2
-#: The split of byte-level vocabularies that the library itself applies (a fixed value).
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAGIC = b"MLWM0001"
-SUPER = 512  # bits between stored ranks
+MAGIC = b"MLWM0002"
+BLOCK = 1 << 15  # bits of a plane that are compressed together
 
 
 def build(ids, doc_ids: bytes, lengths, levels: int = 16) -> bytes:
@@ -41,14 +43,19 @@ def build(ids, doc_ids: bytes, lengths, levels: int = 16) -> bytes:
     zeros = []
     for level in range(levels - 1, -1, -1):
         ones = (seq & seq.dtype.type(1 << level)) != 0
-        parts.append(pack(np.packbits(ones).tobytes()))
+        raw, step = np.packbits(ones).tobytes(), BLOCK // 8
+        blocks = [raw[i : i + step] for i in range(0, len(raw), step)]
+        before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64))]) if blocks else np.zeros(1)
+        blocks = [min(b, pack(b), key=len) for b in blocks]  # a block that doesn't shrink stays as it is
+        ends = np.cumsum([0, *map(len, blocks)])
+        parts += [np.stack([before, ends]).astype("<u4").tobytes(), b"".join(blocks)]
         high, low = np.flatnonzero(ones), np.flatnonzero(~ones)
         zeros.append(len(low))
         after = np.empty_like(seq)
         np.take(seq, low, out=after[: len(low)])
         np.take(seq, high, out=after[len(low) :])
         seq = after
-    head = struct.pack(f"<8sQIB{levels}Q{levels + 2}Q", MAGIC, len(seq), len(lengths), levels, *zeros, *map(len, parts))
+    head = struct.pack(f"<8sQIB{levels}Q{len(parts)}Q", MAGIC, len(seq), len(lengths), levels, *zeros, *map(len, parts))
     return head + b"".join(parts)
 
 
@@ -58,89 +65,133 @@ class WaveletFile:
     def __init__(self, raw: bytes):
         import struct
 
+        import numpy as np
+
         magic, self.n, self.n_docs, self.levels = struct.unpack_from("<8sQIB", raw)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix file")
         at = struct.calcsize("<8sQIB")
-        numbers = struct.unpack_from(f"<{2 * self.levels + 2}Q", raw, at)
+        numbers = struct.unpack_from(f"<{3 * self.levels + 2}Q", raw, at)
         self.zeros, sizes = numbers[: self.levels], numbers[self.levels :]
         at += 8 * len(numbers)
-        self._parts = []
+        parts = []
         for size in sizes:
-            self._parts.append(raw[at : at + size])
+            parts.append(raw[at : at + size])
             at += size
-        self.doc_ids = self._parts[0]
-        self._planes: dict[int, tuple] = {}
+        self.doc_ids, self._lengths, self._data = parts[0], parts[1], parts[3::2]
+        self._ones, self._ends = zip(*(np.frombuffer(d, "<u4").reshape(2, -1).astype(np.int64) for d in parts[2::2]), strict=True)
+        self._held: dict[tuple[int, int], object] = {}
 
-    def _raw(self, part: int):
+    @property
+    def lengths(self):
         import numpy as np
         import zstandard
 
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._parts[part]), np.uint8)
-
-    @property
-    def lengths(self):
-        return self._raw(1).view("<u4")
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._lengths), "<u4")
 
-    def _plane(self, level: int):
-        """Bytes of a plane and the count of ones before each superblock."""
+    def _block(self, level: int, block: int):
+        """The bytes of one block of a plane; the blocks read stay in memory."""
         import numpy as np
+        import zstandard
+
+        found = self._held.get((level, block))
+        if found is None:
+            raw = self._data[level][self._ends[level][block] : self._ends[level][block + 1]]
+            size = (min(self.n - block * BLOCK, BLOCK) + 7) // 8
+            found = self._held[level, block] = np.frombuffer(raw if len(raw) == size else zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+        return found
 
-        if level not in self._planes:
-            raw = self._raw(level + 2)
-            step = SUPER // 8
-            padded = np.zeros(-(-max(len(raw), 1) // step) * step, np.uint8)
-            padded[: len(raw)] = raw
-            per = np.bitwise_count(padded).reshape(-1, step).sum(axis=1, dtype=np.int64)
-            self._planes[level] = padded, np.concatenate([[0], np.cumsum(per)])
-        return self._planes[level]
-
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
+    def _by_block(self, blocks):
+        """(block, places in blocks) for every distinct block."""
         import numpy as np
 
-        raw, supers = self._plane(level)
-        block = i // SUPER
-        begin, whole = block * SUPER // 8, i // 8
-        count = int(supers[block]) + int(np.bitwise_count(raw[begin:whole]).sum())
-        return count + (int(raw[whole] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            yield int(blocks[part[0]]), part
+
+    def _rank1(self, level: int, places):
+        """Ones among the first bits of a plane, for an array of places."""
+        import numpy as np
 
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) bit of a kind in a plane."""
+        blocks = places // BLOCK
+        out = self._ones[level][blocks]
+        for b, part in self._by_block(blocks):
+            off = places[part] - b * BLOCK
+            if off.any():
+                raw = self._block(level, b)
+                whole, rest = off // 8, off % 8
+                ones = np.concatenate([[0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)])
+                out[part] += ones[whole] + np.where(rest > 0, np.bitwise_count(raw[np.minimum(whole, len(raw) - 1)] >> (8 - rest).astype(np.uint8)), 0)
+        return out
+
+    def _select(self, level: int, bit: int, ks):
+        """Places of the k-th (from 0) bits of a kind in a plane."""
         import numpy as np
 
-        raw, supers = self._plane(level)
-        before = supers if bit else np.arange(len(supers)) * SUPER - supers
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(raw[block * SUPER // 8 : (block + 1) * SUPER // 8])
-        return block * SUPER + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        ones = self._ones[level]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        blocks = np.searchsorted(before, ks, side="right") - 1
+        out = np.empty(len(ks), np.int64)
+        for b, part in self._by_block(blocks):
+            bits = np.unpackbits(self._block(level, b), count=min(self.n - b * BLOCK, BLOCK))
+            out[part] = b * BLOCK + np.flatnonzero(bits == bit)[ks[part] - before[b]]
+        return out
+
+    def access_many(self, places):
+        """The ids at an array of places."""
+        import numpy as np
 
-    def access(self, i: int) -> int:
-        """The id at place i."""
-        value = 0
+        at = np.asarray(places, np.int64)
+        value = np.zeros(len(at), np.int64)
         for level in range(self.levels):
-            raw, _ = self._plane(level)
-            bit = int(raw[i // 8]) >> (7 - i % 8) & 1
-            ones = self._rank1(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
+            ones = self._rank1(level, at)
+            bit = self._rank1(level, at + 1) - ones
+            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
             value = value << 1 | bit
         return value
 
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+    def _ranges(self, tokens, lo, hi):
+        import numpy as np
+
         for level in range(self.levels):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
-            if token >> (self.levels - 1 - level) & 1:
-                lo, hi = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                lo, hi = lo - a, hi - b
+            bit = tokens >> (self.levels - 1 - level) & 1 == 1
+            lo, hi = np.where(bit, self.zeros[level] + a, lo - a), np.where(bit, self.zeros[level] + b, hi - b)
         return lo, hi
 
+    def count_many(self, tokens, lo, hi):
+        """Occurrences of each id among the places from lo to hi (excluded), for arrays of all three."""
+        import numpy as np
+
+        tokens = np.asarray(tokens, np.int64)
+        a, b = self._ranges(tokens, np.asarray(lo, np.int64), np.asarray(hi, np.int64))
+        return np.where(tokens >> self.levels == 0, b - a, 0)
+
+    def select_many(self, tokens, ks):
+        """Places of the k-th (from 0) occurrences of ids; IndexError where there are fewer."""
+        import numpy as np
+
+        tokens, ks = np.asarray(tokens, np.int64), np.asarray(ks, np.int64)
+        lo, hi = self._ranges(tokens, np.zeros(len(tokens), np.int64), np.full(len(tokens), self.n, np.int64))
+        if not ((tokens >> self.levels == 0) & (ks >= 0) & (ks < hi - lo)).all():
+            raise IndexError("an id has fewer occurrences")
+        at = lo + ks
+        for level in range(self.levels - 1, -1, -1):
+            bit = tokens >> (self.levels - 1 - level) & 1 == 1
+            back = np.empty(len(at), np.int64)
+            back[bit] = self._select(level, 1, at[bit] - self.zeros[level])
+            back[~bit] = self._select(level, 0, at[~bit])
+            at = back
+        return at
+
+    def access(self, i: int) -> int:
+        """The id at place i."""
+        return int(self.access_many([i])[0])
+
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of an id among the places lo to hi (excluded)."""
-        if token >> self.levels:
-            return 0
-        a, b = self._range(token, lo, self.n if hi is None else hi)
-        return b - a
+        return int(self.count_many([token], [lo], [self.n if hi is None else hi])[0])
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of an id before place i."""
@@ -148,16 +199,7 @@ class WaveletFile:
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of an id; IndexError where there are fewer."""
-        if token >> self.levels:
-            raise IndexError(k)
-        lo, hi = self._range(token, 0, self.n)
-        if not 0 <= k < hi - lo:
-            raise IndexError(k)
-        i = lo + k
-        for level in range(self.levels - 1, -1, -1):
-            bit = token >> (self.levels - 1 - level) & 1
-            i = self._select(level, bit, i - self.zeros[level] if bit else i)
-        return i
+        return int(self.select_many([token], [k])[0])
 
     def tokens(self):
         """The whole sequence, rebuilt from the last plane to the first."""
@@ -166,7 +208,8 @@ class WaveletFile:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         seq = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            ones = np.unpackbits(self._raw(level + 2), count=self.n).view(bool)
+            raw = [self._block(level, b) for b in range(len(self._ends[level]) - 1)]
+            ones = np.unpackbits(np.concatenate(raw) if raw else np.empty(0, np.uint8), count=self.n).view(bool)
             low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             before = np.empty_like(seq)
             before[low] = seq[: len(low)]
@@ -176,14 +219,7 @@ class WaveletFile:
 
 
 class Irregular(Exception):
-    """A blank of the text stands beside other white space."""
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    """A blank or line feed of the text stands beside other white space."""
 
 
 class Recent(dict):
@@ -201,92 +237,121 @@ class Recent(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        self[key] = found
+        if len(key) <= 64:
+            self[key] = found
         return found
 
 
-class Words(Recent):
-    """Pre-token -> its ids as little-endian 16-bit numbers, by the library's merges."""
-
-    def __init__(self, model, most: int):
-        super().__init__(most)
-        self.tokenize, self.letters = model.tokenize, byte_letters()
-        self.pairs = [bytes((i & 255, i >> 8)) for i in range(1 << 16)]
-
-    def make(self, word):
-        pairs = self.pairs
-        return b"".join([pairs[t.id] for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
-
-
-class Chunks(Words):
-    """What stands between two blanks -> its ids, the blank before it included.
+class Chunks(Recent):
+    """What stands between two blanks -> its ids (as bytes), the blank before it included.
 
-    Between two characters that are not white space, a pre-token always ends before a blank and
-    before and after a line feed. A chunk that begins with a line feed had no blank before it.
+    A chunk that begins with a line feed had no blank before it.
     """
 
-    def __init__(self, model, find, words, most: int):
-        super().__init__(model, most)
-        self.find, self.words = find, words
+    def __init__(self, encode, tokenize, blank: str, marks: str, bytes_of, most: int):
+        super().__init__(most)
+        self.encode, self.tokenize, self.blank, self.marks, self.bytes_of = encode, tokenize, blank, marks, bytes_of
+        self.tails: dict[str, bytes] = {}
 
     def make(self, chunk):
-        if chunk.isalpha():
-            return super().make(" " + chunk)
-        plain = chunk.rstrip(".,;:!?")
-        if plain.isalpha():
-            return self[plain] + self.words[chunk[len(plain) :]]
         feed = chunk[:1] == "\n"
         body = chunk[1:] if feed else chunk
-        if feed and body.isalpha():
-            return self.words["\n"] + self.words[body]
+        word = body.rstrip(self.marks)
+        if word.isascii() and word.isalpha():  # one pre-token, whose letters the vocabulary spells as they are
+            ids = self.bytes_of([t.id for t in self.tokenize(word if feed else self.blank + word)])
+            return (self._tail("\n") if feed else b"") + ids + (self._tail(body[len(word) :]) if len(word) < len(body) else b"")
         if not body or body[0].isspace() or body[-1].isspace():
             raise Irregular
-        parts = self.find(chunk if feed else " " + chunk)
-        return b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in parts])
+        return self.encode(chunk if feed else " " + chunk)
+
+    def _tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
+        if found is None:
+            found = self.encode(marks)
+            if len(marks) <= 3:
+                self.tails[marks] = found
+        return found
 
 
 class WordEncoder:
-    """Encodes texts by way of their distinct pre-tokens, given to the tokenizers library once each (while remembered).
+    """Encodes texts with the tokenizers library, giving it each distinct chunk once (while remembered).
 
-    Special tokens' strings in a text are ordinary text. The vocabulary must be byte-level, without a
-    normalizer or a blank put before the text.
+    A text is cut where a blank or a line feed stands between two characters that are no white space.
+    Whether the library's own pre-tokenizer always ends a pre-token there is asked of it at the start;
+    where it doesn't, and for texts with strings of added tokens, the library gets the whole text.
     """
 
-    WORDS, CHUNKS = 200_000, 650_000  # kept before the older half goes
+    CHUNKS = 650_000  # kept before the older half goes
 
     def __init__(self, model: str):
         import json
+        import re
 
-        import regex
+        import numpy as np
         from tokenizers import Tokenizer
 
-        says, tokenizer = json.loads(model), Tokenizer.from_str(model)
-        split = says["pre_tokenizer"]
-        if says["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
-            raise ValueError("a byte-level vocabulary without normalizer is needed")
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        self.find = regex.compile(pattern_for_regex(BYTE_LEVEL_PATTERN)).findall
-        self.words = Words(tokenizer.model, self.WORDS)
-        self.chunks = Chunks(tokenizer.model, self.find, self.words, self.CHUNKS)
+        says, self.library = json.loads(model), Tokenizer.from_str(model)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.size = 2 if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
+        self.added = [t["content"] for t in says.get("added_tokens") or () if not t["special"]]
+        self.kind, self.pairs = np.dtype(f"<u{self.size}"), None
+        if self.size == 2:
+            self.pairs = [bytes((i & 255, i >> 8)) for i in range(1 << 16)]
+        self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
+        marks = self._probe(says)
+        self.chunks = None
+        if marks is not None:
+            blank = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+            self.chunks = Chunks(self._library, self.library.model.tokenize, blank, marks, self._bytes, self.CHUNKS)
+
+    def _probe(self, says: dict) -> str | None:
+        """The marks that the pre-tokenizer splits from a word before them, or None where texts can't be cut."""
+        if says.get("normalizer") or not self.library.pre_tokenizer or says["pre_tokenizer"]["type"] != "ByteLevel":
+            return None
+        pieces = lambda text: [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        for a in ("ab", "b,", "1", "é", "中", "'s", "…"):
+            for b in ("cd", ".d", "2", "é", "中", "'s", "…"):
+                if pieces(f"{a} {b}") != pieces(a) + pieces(f" {b}") or pieces(f"{a}\n{b}") != pieces(a) + pieces(f"\n{b}"):
+                    return None
+        if pieces(" ab") != [" ab"] or pieces("\nab") != ["\n", "ab"] or self.library.pre_tokenizer.pre_tokenize_str(" ab")[0][0][-2:] != "ab":
+            return None
+        return "".join(m for m in ".,;:!?" if pieces(f" ab{m}") == [" ab", m])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        import numpy as np
+
+        return b"".join([self.pairs[i] for i in ids]) if self.pairs and len(ids) < 50 else np.array(ids, self.kind).tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 16-bit numbers."""
-        self.words.trim()
+        """The ids of a text as little-endian numbers of `size` bytes."""
+        if not text:
+            return b""
+        if self.chunks is None or any(a in text for a in self.added):
+            return self._library(text)
         self.chunks.trim()
-        chunks = text.replace("\n", " \n").split(" ")
-        first = chunks[0]
+        parts = text.replace("\n", " \n").split(" ")
+        first = parts[0]
         if first and not first[0].isspace() and not first[-1].isspace():
             try:
-                rest = b"".join(map(self.chunks.__getitem__, chunks[1:]))
-                return b"".join(map(self.words.__getitem__, self.find(first))) + rest
+                rest = b"".join(map(self.chunks.__getitem__, parts[1:]))
+                return self._library(first) + rest
             except Irregular:
                 pass
-        return b"".join(map(self.words.__getitem__, self.find(text)))
+        first, *rest = self.cut(text)
+        return self._library(first) + b"".join([self._piece(x) for x in rest])
+
+    def _piece(self, text: str) -> bytes:
+        """A piece that begins with a blank or a line feed and a character that is no white space."""
+        if text[-1].isspace() or text[0] == "\n":  # its last part goes on to the next safe place
+            return self._library(text)
+        return self.chunks[text[1:]]
 
 
 def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the files to a table at `path` and returns it: part, chunk, first_key, n_docs, n_tokens, file."""
+    """Writes the files to a table at `path` and returns it: part, chunk, first_key, n_docs, n_tokens, end_id, file."""
     model = common.file_bytes(model_path).decode()
     spark = docs.sparkSession
     ordered = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).repartitionByRange("__key").sortWithinPartitions("__key", "__text")
@@ -296,8 +361,8 @@ def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_I
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = common.worker_memo("wavelet-words", lambda: WordEncoder(model))
-        end = np.array([end_id], "<u2").tobytes()
+        encoder = common.worker_memo(("wavelet-words", hash(model)), lambda: WordEncoder(model))
+        end = np.array([end_id], encoder.kind).tobytes()
         part, chunk, keys, found, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
@@ -306,25 +371,25 @@ def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_I
             own = pa.array(keys, pa.int64())
             with pa.ipc.new_stream(sink, pa.schema([("key", pa.int64())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([own], names=["key"]))
-            ids = np.frombuffer(b"".join(found), "<u2")
-            lengths = np.fromiter((len(x) // 2 for x in found), np.uint32, len(found))
-            row = [part], [chunk], [keys[0]], [len(keys)], [len(ids)], [build(ids, sink.getvalue().to_pybytes(), lengths)]
+            ids = np.frombuffer(b"".join(found), encoder.kind)
+            lengths = np.fromiter((len(x) // encoder.size for x in found), np.uint32, len(found))
+            row = [part], [chunk], [keys[0]], [len(keys)], [len(ids)], [end_id], [build(ids, sink.getvalue().to_pybytes(), lengths, 8 * encoder.size)]
             chunk += 1
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "chunk", "first_key", "n_docs", "n_tokens", "file"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=["part", "chunk", "first_key", "n_docs", "n_tokens", "end_id", "file"])
 
         for batch in batches:
             texts = batch.column(1)
             for i, k in enumerate(batch.column(0).to_pylist()):
                 keys.append(k)
                 found.append(encoder.encode(texts[i].as_py()) + end)
-                size += len(found[-1]) // 2
+                size += len(found[-1]) // encoder.size
                 if size >= file_tokens:
                     yield flush()
                     keys, found, size = [], [], 0
         if keys:
             yield flush()
 
-    schema = "part int, chunk int, first_key long, n_docs long, n_tokens long, file binary"
+    schema = "part int, chunk int, first_key long, n_docs long, n_tokens long, end_id long, file binary"
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -332,25 +397,26 @@ def write_files(docs: DataFrame, model_path: str, path: str, end_id: int = END_I
 def with_starts(files: DataFrame) -> DataFrame:
     """files with `start`: the ids in all files before it.
 
-    Sums of the parts (one row per writing task) are put in order on the driver; within a part a
-    window runs over its few files.
+    The parts (one row per writing task, their only ordered table) are summed in order of their first keys;
+    within a part a window runs over its few files.
     """
     from pyspark.sql import Window
 
-    parts = sorted(files.groupBy("part").agg(F.min("first_key").alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("first_key").isNull()).alias("z")).collect(), key=lambda r: (not r.z, r.k if r.k is not None else 0, r.part))
-    begun, rows = 0, []
-    for r in parts:
-        rows.append((r.part, begun))
-        begun += r.n
-    base = common.small_table(files.sparkSession, rows, "part int, __base bigint")
-    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    parts = files.groupBy("part").agg(F.min("first_key").alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("first_key").isNull()).alias("z"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("part", F.coalesce(F.sum("n").over(until(Window.orderBy(F.desc("z"), "k", "part"))), F.lit(0)).alias("__base"))
+    before = F.sum("n_tokens").over(until(Window.partitionBy("part").orderBy("chunk")))
     starts = files.select("part", "chunk", "n_tokens").withColumn("__in", F.coalesce(before, F.lit(0)))
-    starts = starts.join(F.broadcast(base), "part").select("part", "chunk", (F.col("__base") + F.col("__in")).alias("start"))
+    starts = starts.join(base.hint("merge"), "part").select("part", "chunk", (F.col("__base") + F.col("__in")).alias("start"))
     return files.join(starts, ["part", "chunk"])
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """Decodes the files: key, start (ids of all documents before it), n_tokens, ids_crc32 per document."""
+    """Reads the files: key, start (ids of all documents before it), n_tokens, ids_crc32 per document.
+
+    first_id (null where the end id stands alone) comes by access, n_first by counting it within the document,
+    and end_place (of the end id, from the document's start) by rank and select.
+    """
 
     def run(batches):
         import zlib
@@ -360,15 +426,21 @@ def read_documents(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                begun, file = batch.column(0)[i].as_py(), WaveletFile(batch.column(1)[i].as_py())
+                begun, file, end_id = batch.column(0)[i].as_py(), WaveletFile(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
                 keys = pa.ipc.open_stream(file.doc_ids).read_all().column(0).combine_chunks()
                 lengths = file.lengths.astype(np.int64)
                 ends = np.cumsum(lengths)
+                starts = ends - lengths
                 view = memoryview(file.tokens().astype("<u4")).cast("B")
-                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(begun + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
-
-    return files.select("start", "file").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                first = file.access_many(starts)
+                often = file.count_many(first, starts, ends)
+                end = np.full(len(ends), end_id, np.int64)
+                place = file.select_many(end, file.count_many(end, np.zeros(len(ends), np.int64), ends) - 1) - starts
+                alone = lengths == 1
+                yield pa.RecordBatch.from_arrays([keys, pa.array(begun + starts), pa.array(lengths), pa.array(sums, pa.int64()), pa.array(first, mask=alone), pa.array(np.where(alone, 0, often)), pa.array(place)], names=["key", "start", "n_tokens", "ids_crc32", "first_id", "n_first", "end_place"])
+
+    return files.select("start", "file", "end_id").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long, first_id long, n_first long, end_place long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,8 @@ def test_encode_empty_table_and_null_or_repeated_keys(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 5000])
-def test_wavelet_file_against_the_sequence(n):
+def test_wavelet_file_against_the_sequence(n, monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 512)
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.4, n), 50256).astype(np.uint16)
     file = wavelet.WaveletFile(wavelet.build(ids, b"keys", [n]))
@@ -85,6 +86,44 @@ def test_wavelet_file_against_the_sequence(n):
         file.select(50270, 0)
 
 
+def test_access_reads_one_block_a_plane():
+    ids = np.random.default_rng(5).integers(0, 50257, 300_000).astype(np.uint16)
+    file = wavelet.WaveletFile(wavelet.build(ids, b"", [len(ids)]))
+    assert file.access(200_000) == int(ids[200_000])
+    assert len(file._held) <= 2 * file.levels  # a place and the next one
+    places = np.arange(0, len(ids), 997)
+    assert (file.access_many(places) == ids[places]).all()
+    lo, hi = places[:-1], places[1:]
+    assert file.count_many(ids[lo], lo, hi).tolist() == [int((ids[a:b] == ids[a]).sum()) for a, b in zip(lo, hi, strict=True)]
+    assert (file.select_many(ids[places], [int((ids[:p] == ids[p]).sum()) for p in places]) == places).all()
+
+
+def test_word_encoder_equals_the_library(library):
+    with open(P.path("byte_bpe_50k.json")) as f:
+        encoder = wavelet.WordEncoder(f.read())
+    assert encoder.chunks is not None and encoder.chunks.marks
+    rng = random.Random(2)
+    words = ["the", "Word,", "e\u0301t\u00e9", "x1", "don't", "<|endoftext|>", "a<|endoftext|>b", "?!", "\u4e2d\u6587.", "1,000", "end.\n", "\nnew", "", "\t", "\u00a0", "y" * 100, "..", "...!"]
+    texts = [t or "" for t in ODD] + mixtures(1500, 7) + [rng.choice([" ", " ", "\n"]).join(rng.choices(words, k=rng.randrange(12))) for _ in range(2000)]
+    texts += [chr(c) + "a" + chr(c) + " " + chr(c) + "\n" + chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_vocabularies_get_whole_texts(library):
+    import json
+
+    with open(P.path("byte_bpe_50k.json")) as f:
+        says = json.load(f)
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}, {"normalizer": {"type": "Lowercase"}}):
+        model = json.dumps(says | change)
+        encoder, own = wavelet.WordEncoder(model), Tokenizer.from_str(model)
+        own.encode_special_tokens = True
+        assert encoder.chunks is None
+        for text in [t or "" for t in ODD] + mixtures(100):
+            assert np.frombuffer(encoder.encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_wavelet_round_trip(spark, tmp_path, library):
     texts = ODD + mixtures(100)
     keys = random.Random(3).sample(range(1000), len(texts))
@@ -96,9 +135,19 @@ def test_wavelet_round_trip(spark, tmp_path, library):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         assert (rows[k].start, rows[k].n_tokens) == (start, len(ids))
         assert rows[k].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (rows[k].first_id, rows[k].n_first) == ((ids[0], ids.count(ids[0])) if len(ids) > 1 else (None, 0))
+        assert rows[k].end_place == len(ids) - 1
         start += len(ids)
 
 
+def test_wavelet_long_text(spark, tmp_path, library):
+    text = " ".join(f"word{i % 977}, again\n" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = {r.key: r for r in wavelet.read_documents(wavelet.with_starts(wavelet.write_files(docs, P.path("byte_bpe_50k.json"), f"file://{tmp_path}/l", file_tokens=5000))).collect()}
+    ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert rows[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and rows[2].start == len(ids)
+
+
 def test_wavelet_empty_table_and_repeated_keys(spark, tmp_path):
     docs = spark.createDataFrame([(None, "x"), (1, "b"), (1, "a")], "doc_id long, text string")
     files = wavelet.write_files(docs, P.path("byte_bpe_50k.json"), f"file://{tmp_path}/a")
