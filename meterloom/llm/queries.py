@@ -23,5 +23,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.sql(),
+        "op6_url_lm": url_lm.sql(),
         "op8_license_scan": license_scan.sql(),
     }

@@ -1,6 +1,7 @@
+import hashlib
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from meterloom.llm import url_lm as u
 
@@ -37,28 +38,92 @@ def test_hosts_paths_and_rules(spark):
         assert r.rule == text and (says is None or r.verdict == says)
 
 
+def probability(counts, which, context, c, share):
+    """Plain Witten-Bell: counts maps grams to (allowed, rejected, open)."""
+    lower = 1 / 64 if not context else probability(counts, which, context[1:], c, share)
+    weight = lambda n: n[which] + n[2] * share
+    after = defaultdict(float)
+    for g, n in counts.items():
+        if g[:4].endswith(context):
+            after[g[4]] += weight(n)
+    total, kinds = sum(after.values()), sum(v > 0 for v in after.values())
+    return (after[c] + kinds * lower) / (total + kinds) if total else lower
+
+
 def test_gram_scores_against_plain_code(spark):
     rng = random.Random(3)
     counts = {}
     for _ in range(300):
-        counts["".join(rng.choices("abc", k=5))] = (rng.randrange(4), rng.randrange(3))
-    got = {r.g: r.llr for r in u.gram_scores(spark.createDataFrame([(g, *n) for g, n in counts.items()], "g string, a long, r long")).collect()}
-
-    def p(which, context, c):
-        if len(context) == 0:
-            lower = 1 / 64
-        else:
-            lower = p(which, context[1:], c)
-        after = defaultdict(int)
-        for g, n in counts.items():
-            if g[:4].endswith(context):
-                after[g[4]] += n[which]
-        total, kinds = sum(after.values()), sum(v > 0 for v in after.values())
-        return (after[c] + kinds * lower) / (total + kinds) if total else lower
-
-    assert set(got) == set(counts)
-    for g in counts:
-        assert abs(got[g] - (math.log(p(1, g[:4], g[4])) - math.log(p(0, g[:4], g[4])))) < 1e-8
+        counts["".join(rng.choices("abc", k=5))] = (rng.randrange(4), rng.randrange(3), rng.randrange(5))
+    for share in (0.0, 0.125):
+        got = {r.g: r.llr for r in u.gram_scores(spark.createDataFrame([(g, *n) for g, n in counts.items()], "g string, a long, r long, o long"), share).collect()}
+        assert set(got) == set(counts)
+        for g in counts:
+            want = math.log(probability(counts, 1, g[:4], g[4], share)) - math.log(probability(counts, 0, g[:4], g[4], share))
+            assert abs(got[g] - 1e9 * want) <= 1
+
+
+def verdicts(urls):
+    """The whole of the method in plain code: (verdict, score) of every URL."""
+    rows, alphabet = [], set(u.ALPHABET)
+    for url in urls:
+        host, path = split(url)
+        text, says = rule(host, path)
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        t = "".join(c if c in alphabet else "*" for c in (chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest))
+        listed = set(host.replace("-", ".").split(".")) & set(u.REJECT_WORDS)
+        seed = "a" if says == "allow" else "r" if says == "block" or listed else "o"
+        rows.append((t, text, len(host) - len(text.partition("/")[0]) if text else None, seed, says))
+    seeds = {r[:4] for r in rows if r[0]}
+    held = lambda t: hashlib.md5(t.encode()).hexdigest()[0] in u.HELD
+    grams = lambda t: [("^" * 4 + t + "$")[i : i + 5] for i in range(len(t) + 1)]
+    counts = {g: [0, 0, 0] for t, *_ in seeds for g in grams(t)}
+    n, h = Counter(s[3] for s in seeds if not held(s[0])), Counter(s[3] for s in seeds if held(s[0]))
+    for t, text, at, seed in seeds:
+        for i, g in enumerate(grams(t)):
+            if not held(t) and not (text and at <= i < at + len(text)):
+                counts[g]["aro".index(seed)] += 1
+    share = u.SHARED / max(u.SHARED, n["o"])
+    llr = {g: round(1e9 * (math.log(probability(counts, 1, g[:4], g[4], share)) - math.log(probability(counts, 0, g[:4], g[4], share)))) for g in counts}
+    q = {t: math.floor(sum(llr[g] for g in grams(t)) / (len(t) + 1) / (1e9 / u.SCALE)) for t, *_ in seeds}
+    threshold, able = 0, n["r"] and n["a"] and h["a"] + h["o"]
+    for seed, most in (("a", u.FALSE_BLOCKS), ("o", u.OPEN_BLOCKS)):
+        scores = [q[t] for t in {s[0] for s in seeds if s[3] == seed and held(s[0])}]
+        while sum(x > threshold for x in scores) * 1000 > most * len(scores):
+            threshold = min(x for x in scores if x > threshold)
+    return [(says or ("block" if able and t and q[t] > threshold else "allow"), None if text else q[t] if t else None) for t, text, _, _, says in rows]
+
+
+def some_urls(seed=8, n=260):
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choices(["tion", "the", "ing", "re", "and"], k=2))
+    urls = [f"https://{rng.choice(['www.', '', 'm.'])}{name()}.Example.{rng.choice(['net/en', 'org/fr', 'org/en', 'com/en', 'com/de', 'net/de'])}/{rng.randrange(90)}" for _ in range(n)]
+    return urls + [f"https://{rng.choice(['casino-win', 'spam-farm'])}.example.{rng.choice(['com/en', 'org/de'])}/{i}?q=1" for i in range(n // 6)] + ODD + urls[:30]
+
+
+def test_whole_verdicts_against_plain_code(spark):
+    urls = some_urls()
+    want = verdicts(urls)
+    got = {r.page_id: r for r in u.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls) and sum(v == "block" for v, _ in want) > 20
+    for i, (says, score) in enumerate(want):
+        assert got[i].verdict == says, urls[i]
+        assert (got[i].llr is None) == (score is None) and (score is None or abs(got[i].llr * u.SCALE - score) <= 1)
+
+
+def test_without_seeds_of_a_kind_all_is_allowed(spark):
+    for urls in (["http://a.com/x", "http://b.com/y"], ["http://x.net/a", "http://y.net/b"]):
+        got = u.judge(spark.createDataFrame([(i, x) for i, x in enumerate([*urls, "http://free.com/"])], "page_id long, url string")).collect()
+        assert all(r.verdict == ("allow" if r.rule is None else "block") for r in got)
+
+
+def test_rate_of_blocks_outside_the_rules(spark, sf_dir):
+    """Of pages outside the rules whose host has no listed word, at most OPEN_BLOCKS thousandths and sampling error are blocked; hosts with one are."""
+    rows = [r for r in u.judge(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/pages.parquet")).collect() if r.rule is None]
+    listed = lambda r: set(r.host.replace("-", ".").split(".")) & set(u.REJECT_WORDS)
+    bad, rest = [r for r in rows if listed(r)], [r for r in rows if not listed(r)]
+    assert sum(r.verdict == "block" for r in rest) <= 0.02 * len(rest)
+    assert sum(r.verdict == "block" for r in bad) >= 0.95 * len(bad)
 
 
 def test_bad_hosts_are_blocked_and_others_kept(spark):
