@@ -3,13 +3,20 @@
 A text becomes a vector of hashed byte bigrams and trigrams of its lower-cased letters, weighted by
 square-rooted frequency and inverse document frequency and scaled to length 1. Every language has
 several centroids, found by spherical k-means, and a text gets the language of the nearest one by
-cosine. A text is rejected where even that cosine lies below a floor learned from the sample.
+cosine. A text is rejected where even that cosine lies below the floor of its language and length.
+
+Floors. Short texts lie farther from every centroid, so each language has a floor for every doubling of
+the number of n-grams. Half of the sample's rows are compared with centroids of the other half, as they are and
+thinned to each smaller length; the floor is FLOOR_SHARE of the cosine that all but FLOOR_QUANTILE of them reach.
 
 Document frequencies and language counts cover all learning rows. The centroids are fitted on a
-sample of at most about ``sample_rows`` rows, the same number of each language, chosen by a hash.
+sample of at most about ``sample_rows`` rows, the same number of each language, chosen by a hash; of more than
+MOST_LANGUAGES languages the most frequent ones are learned.
 
-Null texts and texts without a letter are ``und`` with score 0 and rejected. With no learning rows all texts are
-``und``. Empty tables give no rows; ties go to the language that sorts first.
+Null texts and texts without a letter are ``und`` with score 0 and rejected. Very long texts are read whole. With no
+learning rows all texts are ``und``. Repeated rows are judged alike and teach as often as they occur; empty tables give no
+rows; ties go to the language that sorts first. Extra columns are dropped by ``predict``, whatever their names, and pass through
+``filter_documents``.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ SAMPLE_ROWS = 2400
 CENTROIDS = 4
 MOST_LANGUAGES = 400
 UNKNOWN = "und"
-#: Share of the sample's lowest cosine that a text must reach.
-FLOOR_SHARE = 0.25
+#: Share of the low quantile of left-out cosines that a text must reach.
+FLOOR_SHARE, FLOOR_QUANTILE = 0.5, 0.005
+#: Left-out rows of a language that set its floors, and doublings of length that have one.
+FLOOR_ROWS, FLOORS = 200, 20
 
 
 def counts(text: str):
@@ -81,12 +90,12 @@ def _sample(learn: DataFrame, sample_rows: int):
     """(language, counts) of the sampled rows: each language at a rate that gives its share of sample_rows."""
     import numpy as np
 
-    sizes = {r.lang: r.n for r in common.bounded(learn.groupBy(F.col("__lang").alias("lang")).agg(F.count(F.lit(1)).alias("n")), MOST_LANGUAGES, "languages")}
+    counted = learn.groupBy(F.col("__lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.lang: r.n for r in counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return []
     each = max(1, sample_rows // len(sizes))
-    draw = F.pmod(F.xxhash64("__key", F.lit("sample")), F.lit(1_000_000))
-    rate = F.coalesce(*[F.when(F.col("__lang") == lang, F.lit(int(min(1.0, each / n) * 1_000_000))) for lang, n in sizes.items()])
+    drawn = F.coalesce(*[F.when(F.col("__lang") == lang, common.sampled(each, n, "__key", F.lit("sample"))) for lang, n in sizes.items()], F.lit(False))
 
     def run(batches):
         import pyarrow as pa
@@ -95,7 +104,7 @@ def _sample(learn: DataFrame, sample_rows: int):
             found = [(lang, c.astype(np.float32).tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text and (c := counts(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], names=["lang", "counts"])
 
-    rows = learn.where(draw < rate).select("__lang", "__text").mapInArrow(run, "lang string, counts binary")
+    rows = learn.where(drawn).select("__lang", "__text").mapInArrow(run, "lang string, counts binary")
     found = common.bounded(rows, 4 * sample_rows + 100, "sampled rows")
     return sorted((r.lang, bytes(r.counts)) for r in found)
 
@@ -129,14 +138,43 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
     found = _sample(learn, sample_rows)
     names = sorted({x[0] for x in found})
-    parts, langs, floor = [], [], 1.0
+    parts, langs, floors = [], [], {}
     for name in names:
-        x = np.array([vector(np.frombuffer(c, np.float32), idf) for lang_, c in found if lang_ == name])
+        own = [np.frombuffer(c, np.float32) for lang_, c in found if lang_ == name]
+        x = np.array([vector(c, idf) for c in own])
         c = _kmeans(x, centroids)
         parts.append(c)
         langs += [name] * len(c)
-        floor = min(floor, float((x @ c.T).max(axis=1).min()))
-    return {"idf": idf, "centroids": np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, DIMS), np.float32), "langs": langs, "floor": FLOOR_SHARE * floor}
+        floors[name] = _floors(own[1::2][:FLOOR_ROWS], _kmeans(x[::2], centroids), idf)
+    return {"idf": idf, "centroids": np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, DIMS), np.float32), "langs": langs, "floors": floors}
+
+
+def size_class(n: float) -> int:
+    """Doublings of the number of n-grams."""
+    return min(int(n).bit_length(), FLOORS - 1)
+
+
+def _floors(left_out, centres, idf) -> list[float]:
+    """The floor of every size class, from counts of rows that the centres have not seen."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    cosines: list[list[float]] = [[] for _ in range(FLOORS)]
+    for c in left_out:
+        at, total = np.flatnonzero(c), float(c.sum())
+        for k in range(2, size_class(total) + 1):
+            thin = c
+            if k < size_class(total):
+                thin = np.zeros_like(c)
+                thin[at] = rng.binomial(c[at].astype(np.int64), min(1.0, 2**k / 1.5 / total))
+            if thin.any():
+                cosines[k].append(float((centres @ vector(thin, idf)).max()))
+    out, floor = [], 0.0
+    for found in cosines:
+        if len(found) >= 10:
+            floor = max(floor, FLOOR_SHARE * float(np.quantile(found, FLOOR_QUANTILE)))
+        out.append(floor)
+    return out
 
 
 def _judge(texts, model):
@@ -152,7 +190,8 @@ def _judge(texts, model):
         near = model["centroids"] @ vector(found, model["idf"])
         best = int(np.argmax(near))
         score = min(1.0, max(0.0, float(near[best])))
-        out.append((model["langs"][best], score, score < model["floor"]))
+        lang = model["langs"][best]
+        out.append((lang, score, score < model["floors"][lang][size_class(found.sum())]))
     return out
 
 

@@ -9,7 +9,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of all rows; there are at most 1/HOT_SHARE of them.
@@ -17,9 +17,11 @@ HOT_SHARE = 1 / 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode (tests), a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meterloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -74,7 +76,14 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return cold.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
 
 
-def worker_memo(key: str, make):
+def sampled(wanted: int, total: int, *parts) -> Column:
+    """True for about `wanted` of `total` rows, by a hash of the parts in 2**63 steps: no total is too large for the rate."""
+    if total <= wanted:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*parts), 1) < F.lit((wanted << 63) // total)
+
+
+def worker_memo(key, make):
     """An object that a Python worker process keeps between its tasks."""
     kept = sys.modules.setdefault("_meterloom_worker", types.ModuleType("_meterloom_worker")).__dict__
     if key not in kept:

@@ -5,13 +5,18 @@ of its two neighbours; transitions score adjacent pairs. Forward-backward gives
 a document's quality is their mean weighted by line length, mapped to a probability by a logistic
 curve that is fitted on the learning sample.
 
-The field is learned from document labels: all lines of a sampled document carry its label. The sample
-is bounded: about SAMPLE_ROWS labelled documents, chosen by a hash, each with all its lines. Documents that would make them more than MOST_LINES lines stay out whole.
+The field is learned from document labels: all lines of a sampled document carry its label, so the learned
+chains never change their label and nothing but a penalty (HOLD) keeps the transitions finite. They
+then act as a smoother: a line among bad ones needs stronger evidence of its own to count as good.
+The sample is bounded: about SAMPLE_ROWS labelled documents, chosen by a hash, each with all its lines.
+Documents that would make them more than MOST_LINES lines stay out whole.
 Scoring covers all lines of all texts. Inputs are the text alone.
 
-A null, empty or blank text has no lines; its line mean counts as 0. Documents labelled several times
-count with their smallest label; null labels don't teach. With no labels, or labels of one kind only, every
-score is that kind's share (0.5 without labels). Repeated rows are scored alike; empty tables give no rows.
+A null, empty or blank text has no lines; its line mean counts as 0. Very long texts are scored whole.
+Documents labelled several times count with their smallest label; of learning documents that share a key the
+smallest text teaches; null labels and keys don't teach. With no labels, or labels of one kind only, every score is that
+kind's share (0.5 without labels). Repeated rows and ties are scored alike; empty tables give no rows. Extra columns
+are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 from meterloom.llm import common
 
 SAMPLE_ROWS = 4000
-MOST_LINES = 1_600_000
+MOST_LINES = 600_000
+#: Penalty of the transitions.
+HOLD = 0.05
 OWN, SHARED = 14, 8  # features of a line; those of them that its neighbours also lend
 FEATURES = OWN + 2 * SHARED + 2
 THRESHOLD = 0.3
@@ -162,8 +169,11 @@ def forward_backward(scores, lengths, trans):
     return good, pairs, log_z
 
 
-def train(features, lengths, labels, rounds: int = 120, decay: float = 1e-3) -> dict:
-    """Weights and transitions of the largest regularised conditional likelihood (adaptive gradient steps)."""
+def train(features, lengths, labels, rounds: int = 120, decay: float = 1e-3, chain: bool = True) -> dict:
+    """Weights and transitions of the largest regularised conditional likelihood (adaptive gradient steps).
+
+    Without `chain` the transitions stay 0: every line is judged by its own features.
+    """
     import numpy as np
 
     n = max(1, len(features))
@@ -178,12 +188,12 @@ def train(features, lengths, labels, rounds: int = 120, decay: float = 1e-3) ->
     for step in range(1, rounds + 1):
         good, pairs, _ = forward_backward(features @ w, lengths, trans)
         g_w = features.T @ (y - good) / n - decay * w
-        g_t = (seen - pairs) / n - 0.05 * trans  # labels never change within a document: hold the transitions back
+        g_t = (seen - pairs) / n - HOLD * trans  # labels never change within a document: hold the transitions back
         m_w, v_w = 0.9 * m_w + 0.1 * g_w, 0.99 * v_w + 0.01 * g_w**2
         m_t, v_t = 0.9 * m_t + 0.1 * g_t, 0.99 * v_t + 0.01 * g_t**2
         fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
         w += 0.15 * (m_w / fix1) / (np.sqrt(v_w / fix2) + 1e-8)
-        trans += 0.05 * (m_t / fix1) / (np.sqrt(v_t / fix2) + 1e-8)
+        trans += chain * 0.05 * (m_t / fix1) / (np.sqrt(v_t / fix2) + 1e-8)
     return {"w": w, "trans": trans}
 
 
@@ -239,16 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     import numpy as np
 
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
-    total = known.count()
-    draw = F.pmod(F.xxhash64("k", F.lit("crf")), F.lit(1_000_000))
-    known = known.where(draw < int(min(1.0, sample_rows / max(1, total)) * 1_000_000))
+    known = known.where(common.sampled(sample_rows, known.count(), "k", F.lit("crf")))
     sample = common.bounded(known, 2 * sample_rows + 100, "sampled labels")
     share = sum(r.y for r in sample) / len(sample) if sample else 0.5
     model = {"w": None, "trans": None, "curve": None, "share": share}
     if not 0 < share < 1:
         return model
     drawn = F.broadcast(docs.sparkSession.createDataFrame([(r.k, r.y) for r in sample], known.schema))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(drawn, "k").dropDuplicates(["k"])
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(drawn, "k").groupBy("k", "y").agg(F.min("t").alias("t"))
 
     def run(batches):
         import pyarrow as pa

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 
@@ -57,3 +59,78 @@ def test_language_of_odd_rows(spark):
     assert cl.filter_documents(docs, model).columns == docs.columns and cl.filter_documents(docs, model).count() == 40  # "no label" is far from both
     empty = cl.fit(docs.limit(0))
     assert {r.lang_pred for r in cl.predict(docs, empty).collect()} == {"und"} and cl.predict(docs.limit(0), model).count() == 0
+
+
+def plain_grams(text):
+    """Counts of the hashed bigrams and trigrams, one by one; None without a letter."""
+    low = text.lower()
+    if not any(c.isalpha() for c in low):
+        return None
+    raw = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in low.encode()) + b" "
+    out = Counter()
+    for i in range(len(raw) - 1):
+        out[(raw[i] * 257 + raw[i + 1]) * 2654435761 % 2**32 >> 20] += 1
+    for i in range(len(raw) - 2):
+        out[((raw[i] * 257 + raw[i + 1]) * 263 + raw[i + 2] + 1) * 2654435761 % 2**32 >> 20] += 1
+    return out
+
+
+def test_languages_against_plain_code(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = cl.fit(docs.where(~cl.held_out()))
+    rows = docs.collect()
+    learn = [g for r in docs.where(~cl.held_out()).collect() if r.text and r.lang and (g := plain_grams(r.text))]
+    df = Counter(k for g in learn for k in g)
+    idf = [math.log((1 + len(learn)) / (1 + df[k])) + 0.1 for k in range(cl.DIMS)]
+    assert max(abs(a - b) for a, b in zip(idf, model["idf"], strict=True)) < 1e-5
+    got = {r.doc_id: r for r in cl.predict(docs, model).collect()}
+    for r in rows:
+        g = plain_grams(r.text) if r.text else None
+        if g is None:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].rejected) == ("und", 0.0, True)
+            continue
+        v = {k: math.sqrt(n) * idf[k] for k, n in g.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(float(c[k]) * x for k, x in v.items()) / length for c in model["centroids"]]
+        best = max(near)
+        assert abs(got[r.doc_id].score - best) < 1e-4
+        assert got[r.doc_id].lang_pred in {lang for lang, x in zip(model["langs"], near, strict=True) if x > best - 1e-5}
+        floor = model["floors"][got[r.doc_id].lang_pred][cl.size_class(sum(g.values()))]
+        assert abs(best - floor) < 1e-4 or got[r.doc_id].rejected == (best < floor)
+
+
+def test_centroids_are_means_of_their_rows(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).random((200, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = cl._kmeans(x, 4, rounds=60)
+    own = [max(range(4), key=lambda j: sum(a * b for a, b in zip(r, c[j], strict=True))) for r in x]
+    for j in range(4):
+        m = sum(r for r, o in zip(x, own, strict=True) if o == j)
+        assert np.allclose(m / np.linalg.norm(m), c[j], atol=1e-6)
+
+
+OTHERS = {
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "consonants": "zq wrtp kjx bvn mlqz prtw xkc dfgh jklm npqr stvw xzbc dfgj klmn prst vwxz qrtp kjxb vnml qzpr twxk cdfg hjkl mnpq rstv wxzb cdfg jklm nprs tvwx zqrt",
+    "base64": "qRz8Kd0mVt3xWb7YpLs2Hc9JfNg4Tk1QeXu6Ao5RiZvMwBnDyGlCjEhSPqRz8Kd0mVt3xWb7YpLs2Hc9JfNg4Tk1QeXu6Ao5RiZvMwBnDyGlCjEhSP",
+}
+
+
+def test_unlearned_languages_are_rejected_and_clean_short_texts_kept(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = cl.fit(docs.where(~cl.held_out()))
+    odd = spark.createDataFrame([(i, (t + " ") * n) for i, (t, n) in enumerate((t, n) for t in OTHERS.values() for n in (1, 20))], "doc_id long, text string")
+    assert all(r.rejected for r in cl.predict(odd, model).collect())
+    short = [(r.doc_id, " ".join(r.text.split()[a : a + 12])) for r in docs.where(cl.held_out()).collect() if r.text for a in (0, 40) if len(r.text.split()) > a + 12]
+    kept = cl.filter_documents(spark.createDataFrame(short, "doc_id long, text string"), model).count()
+    assert len(short) > 200 and kept >= 0.97 * len(short)
+
+
+def test_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(cl, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, f"word{lang} text{lang} ", lang) for i, lang in enumerate("aaabbbccd")], "doc_id long, text string, lang string")
+    assert set(cl.fit(docs)["langs"]) == {"a", "b"}

@@ -64,3 +64,50 @@ def test_odd_rows_are_scored(spark):
     labels = spark.createDataFrame([(k, int(k < 100)) for k, _ in rows], "doc_id long, quality int")
     got = {r.doc_id: r for r in c.predict(docs, c.fit(docs, labels)).collect()}
     assert all(got[k].predicted == (k < 100) for k, _ in rows) and got[500].score == got[501].score < 0.5 and len(got) == 123
+
+
+def test_the_chain_beats_lines_judged_alone():
+    """Lines whose own features are weak: neighbours decide, and only transitions carry them further than one line."""
+    rng = np.random.default_rng(4)
+    lengths = np.full(120, 30)
+    labels = np.arange(120) % 2
+    y = np.repeat(labels, lengths)
+    f = np.stack([rng.normal(size=len(y)) + 0.7 * (2 * y - 1), np.ones(len(y))], axis=1)
+    got = {chain: c.forward_backward(f @ m["w"], lengths, m["trans"])[0] for chain in (True, False) for m in [c.train(f, lengths, labels, chain=chain)]}
+    right = {chain: np.mean((g > 0.5) == y) for chain, g in got.items()}
+    assert right[True] >= right[False] + 0.05 and right[True] > 0.85
+
+
+def test_training_climbs_the_likelihood():
+    """The gradient of the regularised conditional likelihood, summed over all paths, vanishes at the trained weights."""
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 2, 4, 1, 3, 4])
+    labels = np.array([1, 0, 1, 0, 0, 1])
+    f = rng.normal(size=(lengths.sum(), 2)) + np.repeat(labels, lengths)[:, None]
+
+    def objective(w, trans):
+        total, at = 0.0, 0
+        for n, label in zip(lengths, labels, strict=True):
+            scores = f[at : at + n] @ w
+            paths = list(itertools.product((0, 1), repeat=int(n)))
+            each = [sum(scores[i] for i in range(n) if p[i]) + sum(trans[p[i - 1], p[i]] for i in range(1, n)) for p in paths]
+            own = sum(scores) * label + (n - 1) * trans[label, label]
+            total += own - np.log(np.exp(each).sum())
+            at += n
+        return total / len(f) - 1e-3 / 2 * (w**2).sum() - c.HOLD / 2 * (trans**2).sum()
+
+    m = c.train(f, lengths, labels, rounds=600)
+    best = objective(m["w"], m["trans"])
+    for _ in range(40):
+        w, t = rng.normal(size=2) * 0.2, rng.normal(size=(2, 2)) * 0.2
+        assert objective(m["w"] + w, m["trans"] + t) <= best + 1e-3
+
+
+def test_repeated_ids_teach_with_their_smallest_text(spark):
+    rows = [(i, ("good words in a line\n" if i % 2 else "$$$ ||| >>>\n") * 3) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    more = [(i, "zzz " + t) for i, t in rows]
+    once = c.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    for n in (1, 4):
+        again = c.fit(spark.createDataFrame(more + rows, "doc_id long, text string").repartition(n), labels)
+        assert np.allclose(again["w"], once["w"]) and np.allclose(again["curve"], once["curve"])
