@@ -69,14 +69,60 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
 
 def test_multi_index_finds_all_within_the_radius():
     rng = random.Random(3)
-    fps = [rng.getrandbits(64) for _ in range(300)]
-    for radius in (0, 7, 12, 22):
-        index = d.MultiIndex(fps, radius)
+    fps = [rng.getrandbits(128) for _ in range(300)]
+    split = lambda x: [x & (1 << 64) - 1, x >> 64]
+    for radius in (0, 7, 8, 15, 22, 31, 39):
+        index = d.MultiIndex([split(f) for f in fps], radius)
+        queries = []
         for _ in range(60):
             q = rng.choice(fps)
-            for b in rng.sample(range(64), rng.randrange(30)):
+            for b in rng.sample(range(128), rng.randrange(60)):
                 q ^= 1 << b
-            assert index.near(q) == [i for i, f in enumerate(fps) if (f ^ q).bit_count() <= radius]
+            queries.append(q)
+        row, item = index.near_many([split(q) for q in queries])
+        assert list(zip(row.tolist(), item.tolist(), strict=True)) == [(i, j) for i, q in enumerate(queries) for j, f in enumerate(fps) if (f ^ q).bit_count() <= radius]
+
+
+def test_the_index_prunes_and_finds_similar_windows():
+    """Few candidates a window, and of windows of similarity 0.8 or more at least 99 % come through the index."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(500)]
+    items = d.Items(list(enumerate(texts)))
+    index = items.by_size[40][1]
+    fp = lambda words: [d.fingerprint(d.shingles_of(words))]
+    found = wanted = 0
+    for i, t in enumerate(texts):
+        words = d.words_of(t)
+        shift = rng.choice([0, 1, 2, 3, 4])  # a window that lies some words off
+        words = words[shift:] + d.words_of(" ".join(rng.choices(vocabulary, k=shift)))
+        if d.weighted_similarity(Counter(d.shingles_of(words)), items.weights(i)) >= 0.8:
+            wanted += 1
+            found += i in index.near_many(fp(words))[1]
+    assert wanted > 300 and found >= 0.99 * wanted
+    strange = [fp(d.words_of(" ".join(rng.choices(vocabulary, k=40))))[0] for _ in range(300)]
+    assert len(index.near_many(strange)[0]) == 0  # of 150,000 pairs
+
+
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(d, "MOST_ITEM_BYTES", 200_000)
+    rng = random.Random(7)
+    items = [(f"item-{i}", " ".join(rng.choices([f"w{j}" for j in range(999)], k=1600))) for i in range(60)] + [(None, "x " * 150_000)] + [("again", "y z " * 30)] * 50
+    blocks = list(d.item_blocks(spark.createDataFrame(items, "item_id string, text string")))
+    assert sorted((str(k), t) for b in blocks for k, t in b) == sorted({(str(k), t) for k, t in items})
+    assert all(sum(len(t) for _, t in b) <= 200_000 or len(b) == 1 for b in blocks) and len(blocks) > 2
+    docs = spark.createDataFrame([(1, "a b " + items[5][1].upper()), (2, "nothing"), (3, "x " * 150_001)], "doc_id long, text string")
+    got = d.matches(docs, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, "item-5"), (3, None)}
+
+
+def test_keys_of_any_type(spark):
+    docs = spark.createDataFrame([("d1", "q w e r t y u i o p"), (None, "q w e r t y u i o p")], "doc_id string, text string")
+    for kind, value in (("string", "k"), ("int", 3), ("date", __import__("datetime").date(2024, 1, 2)), ("struct<a:long>", (5,))):
+        bench = spark.createDataFrame([(value, "q w e r t y u i o p")], f"item_id {kind}, text string")
+        got = d.matches(docs, bench)
+        assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType
+        assert sorted((str(r.doc_id), r.similarity) for r in got.collect()) == [("None", 1.0), ("d1", 1.0)]
 
 
 def test_documents(spark, sf_dir):
