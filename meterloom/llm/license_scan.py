@@ -2,10 +2,18 @@
 
 A template is mandatory wording with two kinds of markup: ``[[ ... ]]`` is optional wording and
 ``{name:k}`` stands for up to k words of any kind. Templates are compiled to token automata; a place
-of a text matches where an automaton reaches its end with all mandatory words exactly as given.
+of a text matches where an automaton reaches its end with all mandatory words exactly as given. Of several
+ends from one place the longest counts. TEMPLATES holds whole licences and the notices that name one.
+
+A label of GENERAL names a family by its opening words; it is dropped where a licence of the family matches.
+
+Texts that lack a word which every template or phrase needs are not given to the automata: those words
+are derived from the compiled templates (``anchors``).
 
 Words: A-Z lower-cased, then runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. A null or empty text has no
-words, no labels and score 0. Rows are scanned one by one, repeated or not; extra columns are dropped.
+words, no labels and score 0. Very long texts are scanned whole; the automata's work at a place is bounded by the
+template. Labels are sorted, so matches that tie in place need no order. Rows are scanned one by one, repeated or not; an empty
+table gives no rows; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,31 +26,88 @@ from pyspark.sql import functions as F
 #: Phrase -> label of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: (label, template). Wording of public licences and of their usual notices.
+_AS_IS = (
+    "this software is provided {by:20} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {holder:20} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {what:3} to deal in the {what:3} without restriction including without limitation the rights "
+    "to use copy modify merge publish distribute sublicense and or sell copies of the {what:3} and to permit persons to whom the {what:3} is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice [[ including the next paragraph ]] shall be included in all copies or substantial portions of the {what:3} "
+    "the {what:3} is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall {holder:12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the {what:3} or the use or other dealings in the {what:3}"
+)
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and {holder:8} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall {holder:8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+    "arising out of or in connection with the use or performance of this software"
+)
+_ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+    "[[ 1 ]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+    "[[ 2 ]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+    "[[ 3 ]] this notice may not be removed or altered from any source distribution"
+)
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+    "for any purpose commercial or non commercial and by any means"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {address:8} "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license"
+)
+_GNU = (
+    "{program:6} is free software you can redistribute it and or modify it under the terms of the gnu LESSER general public license as published by the free software foundation either version VERSION of the license or at your option any later version "
+    "[[ {program:6} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu LESSER general public license for more details ]]"
+)
+
+#: (label, template). Fixed wording of public licences and of their usual notices.
 TEMPLATES = [
     ("gpl-3.0", "gnu general public license [[ as published by the free software foundation ]] [[ either ]] version 3"),
     ("gpl-2.0", "gnu general public license [[ as published by the free software foundation ]] [[ either ]] version 2"),
+    ("gpl-3.0-or-later", _GNU.replace("LESSER ", "").replace("VERSION", "3")),
+    ("gpl-2.0-or-later", _GNU.replace("LESSER ", "").replace("VERSION", "2")),
+    ("lgpl-3.0", "gnu lesser general public license [[ as published by the free software foundation ]] [[ either ]] version 3"),
+    ("lgpl-2.1", "gnu lesser general public license [[ as published by the free software foundation ]] [[ either ]] version 2 1"),
+    ("lgpl-3.0-or-later", _GNU.replace("LESSER", "lesser").replace("VERSION", "3")),
+    ("lgpl-2.1-or-later", _GNU.replace("LESSER", "lesser").replace("VERSION", "2 1")),
+    ("agpl-3.0", "gnu affero general public license [[ as published by the free software foundation ]] [[ either ]] version 3"),
     ("gpl-3.0", "spdx license identifier gpl 3 0 [[ or later ]] [[ only ]]"),
     ("gpl-2.0", "spdx license identifier gpl 2 0 [[ or later ]] [[ only ]]"),
     ("apache-2.0", "licensed under the apache license [[ version ]] 2 0"),
+    ("apache-2.0", "apache license version 2 0 [[ january 2004 ]]"),
+    ("apache-2.0", _APACHE),
     ("apache-2.0", "spdx license identifier apache 2 0"),
     ("cc-by-nc-4.0", "cc by nc 4 0"),
     ("cc-by-sa-4.0", "cc by sa 4 0"),
     ("cc-by-nd-4.0", "cc by nd 4 0"),
     ("cc-by-4.0", "cc by 4 0"),
     ("cc-by-4.0", "creative commons attribution 4 0 international [[ public ]] license"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international [[ public ]] license"),
     ("cc0-1.0", "cc0 1 0 universal"),
     ("mit", "[[ released ]] [[ licensed ]] under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {what:3} to deal in the {what:3} without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", _MIT),
+    ("isc", _ISC),
+    ("zlib", _ZLIB),
+    ("unlicense", _UNLICENSE),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", _BSD + _AS_IS),
+    ("bsd-3-clause", _BSD + "[[ 3 ]] neither the name of {holder:12} nor the names of {holder:6} contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _AS_IS),
     ("bsd-3-clause", "neither the name of {holder:12} nor the names of {holder:6} contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 [[ if a copy of the mpl was not distributed with this file you can obtain one at {address:8} ]]"),
     ("all-rights-reserved", "[[ copyright {holder:8} ]] all rights reserved"),
-]
-#: A text without any of these holds neither a phrase nor a template (each has one of them as mandatory wording).
-ANCHORS = (b"license", b"cc", b"permission", b"redistribution", b"neither", b"unencumbered", b"reserved")
+]
+#: Label of a family's opening words -> labels of its licences.
+GENERAL = {"bsd": ("bsd-2-clause", "bsd-3-clause")}
 LOWER, WORD = {c: c + 32 for c in range(65, 91)}, rb"[0-9a-z\x80-\xff]+"
 
 
@@ -53,7 +118,7 @@ class Automaton:
         self.words: list[dict[bytes, int]] = [{}]
         self.any: list[int | None] = [None]
         self.free: list[list[int]] = [[]]
-        self.mandatory = 0
+        self.mandatory: list[str] = []
         at, opened = 0, []
         for token in template.split():
             if token == "[[":
@@ -74,8 +139,10 @@ class Automaton:
             else:
                 self.words[at][token.encode()] = new = self._step()
                 at = new
-                self.mandatory += not opened
+                self.mandatory += [token] if not opened else []
         self.end = at
+        if not self.mandatory:
+            raise ValueError("a template needs mandatory words")
         start = self._closure({0})
         self.starts = {w for s in start for w in self.words[s]} if not any(self.any[s] is not None for s in start) else None
 
@@ -109,12 +176,33 @@ class Automaton:
             states, at = self._closure(after), at + 1
 
 
-def compiled():
-    return [(label, Automaton(t)) for label, t in TEMPLATES]
+def compiled(templates=None):
+    return [(label, Automaton(t)) for label, t in (TEMPLATES if templates is None else templates)]
+
+
+def anchors(automata) -> list[bytes]:
+    """Words such that every template and every phrase needs one of them: always the one that most of those left need, the longest on ties."""
+    todo, out = [set(a.mandatory) for _, a in automata] + [set(p.split()) for p in PHRASES], []
+    while todo:
+        words = {w for need in todo for w in need}
+        best = max(words, key=lambda w: (sum(w in need for need in todo) * min(len(w), 4), len(w), w))
+        out.append(best.encode())
+        todo = [need for need in todo if best not in need]
+    return out
+
+
+def specific(labels: set[str]) -> set[str]:
+    """Labels without the families of which a licence is among them."""
+    return {x for x in labels if not labels.intersection(GENERAL.get(x, ()))}
+
+
+def strength(automaton: Automaton) -> float:
+    """Score of a text that an automaton accepts: the nearer to 1, the more mandatory words it has."""
+    return round(1 - 1 / (1 + len(automaton.mandatory)), 6)
 
 
-def scan_text(text: str | None, automata) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str]]]:
-    """Words, base places (start, label) and template matches (start, end, label) of one text."""
+def scan_text(text: str | None, automata, needed=None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, float]]]:
+    """Words, base places (start, label) and template matches (start, end, label, strength) of one text."""
     import numpy as np
 
     raw = text.translate(LOWER).encode("utf-8", "surrogatepass") if text else b""
@@ -123,7 +211,7 @@ def scan_text(text: str | None, automata) -> tuple[int, list[tuple[int, str]], l
     codes = np.frombuffer(raw, np.uint8)
     is_word = (codes >= 128) | ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
     n = int(is_word[0]) + int(np.count_nonzero(is_word[1:] & ~is_word[:-1]))
-    if not any(a in raw for a in ANCHORS):
+    if not any(a in raw for a in (anchors(automata) if needed is None else needed)):
         return n, [], []
     tokens = re.findall(WORD, raw)
     places: dict[bytes, list[int]] = {}
@@ -136,35 +224,37 @@ def scan_text(text: str | None, automata) -> tuple[int, list[tuple[int, str]], l
     found = []
     for label, automaton in automata:
         starts = range(n) if automaton.starts is None else sorted(i for w in automaton.starts for i in places.get(w, ()))
-        found += [(i, end, label) for i in starts if (end := automaton.match(tokens, i))]
-    return n, sorted(base), sorted(found)
+        found += [(i, end, label, strength(automaton)) for i in starts if (end := automaton.match(tokens, i))]
+    kept = specific({x[2] for x in found})
+    return n, sorted(base), sorted(x for x in found if x[2] in kept)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, base (start, label), matches (start, stop, label) and score of every row.
 
-    score is 1 where a template matches, 0.5 where only a phrase does, else 0.
+    score is the largest strength of the templates that match, 0.5 where only a phrase does, else 0.
     """
     from pyspark.sql import types as T
 
     base = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("label", T.StringType())]))
     matches = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("label", T.StringType())]))
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("base", base), T.StructField("matches", matches)])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("base", base), T.StructField("matches", matches), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
         automata = compiled()
+        needed = anchors(automata)
         one = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
         two = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("label", pa.string())]))
         for batch in batches:
-            rows = [scan_text(t, automata) for t in batch.column(1).to_pylist()]
+            rows = [scan_text(t, automata, needed) for t in batch.column(1).to_pylist()]
+            scores = [max((x[3] for x in r[2]), default=0.5 if r[1] else 0.0) for r in rows]
             bases = [[dict(zip(("start", "label"), x, strict=True)) for x in r[1]] for r in rows]
-            found = [[dict(zip(("start", "stop", "label"), x, strict=True)) for x in r[2]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(bases, one), pa.array(found, two)], names=schema.names)
+            found = [[dict(zip(("start", "stop", "label"), x[:3], strict=True)) for x in r[2]] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(bases, one), pa.array(found, two), pa.array(scores, pa.float64())], names=schema.names)
 
-    rows = docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
-    return rows.withColumn("score", F.when(F.size("matches") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0))
+    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -193,12 +283,15 @@ def sql() -> str:
         words = phrase.split()
         same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
         places.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'s': i, 'l': '{label}'}})")
-    labels = [f"CASE WHEN regexp_matches(n, '{template_regex(t)}') THEN '{label}' END" for label, t in TEMPLATES]
+    automata = compiled()
+    labels = [f"CASE WHEN regexp_matches(n, '{template_regex(t)}') THEN {{'l': '{label}', 's': {strength(a)!r}::DOUBLE}} END" for (label, t), (_, a) in zip(TEMPLATES, automata, strict=True)]
+    general = " OR ".join(f"(x.l = '{g}' AND list_has_any(list_transform(m, lambda y: y.l), {list(own)}))" for g, own in GENERAL.items())
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS n FROM d),
-b AS (SELECT doc_id, w, {' || '.join(f'({x})' for x in places)} AS b, list_filter([{', '.join(labels)}], lambda x: x IS NOT NULL) AS m FROM p)
+a AS (SELECT doc_id, w, {' || '.join(f'({x})' for x in places)} AS b, list_filter([{', '.join(labels)}], lambda x: x IS NOT NULL) AS m FROM p),
+b AS (SELECT doc_id, w, b, list_filter(m, lambda x: NOT ({general})) AS m FROM a)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(b)::BIGINT AS n_base, list_min(list_transform(b, lambda x: x.s))::BIGINT AS first_word, list_max(list_transform(b, lambda x: x.s))::BIGINT AS last_word,
        array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.l))), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.l) || m)), ',') AS labels,
-       CASE WHEN len(m) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM b"""
+       array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.l) || list_transform(m, lambda x: x.l))), ',') AS labels,
+       CASE WHEN len(m) > 0 THEN list_max(list_transform(m, lambda x: x.s)) WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM b"""

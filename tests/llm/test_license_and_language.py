@@ -12,14 +12,14 @@ NOTICES = [
     None, "", "!!", "Licensed under the Apache License, Version 2.0.", "the GNU  General\nPublic-License as published by the Free Software Foundation, either version 3", "gnu general public license version 4",
     "CC BY-NC 4.0", "CC-BY 4.0, cc by sa 4 0", "mit license MIT License", "Released under the MIT License.", "Copyright (c) 2020 Some Body All rights reserved", "all right reserved", "licensed under the apache 2 0",
     "Neither the name of the Über Foundation nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "neither the name of x nor names of y contributors may be used", "x " * 30000 + "cc by", "cc bycc by", "ICC BY 4.0",
+    "neither the name of x nor names of y contributors may be used", "x " * 30000 + "cc by", "cc bycc by", "ICC BY 4.0", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 ]
 
 
 def test_scan_equals_its_sql(spark, tmp_path):
     rng = random.Random(2)
     parts = [w for n in NOTICES if n and len(n) < 300 for w in re.split(r"(?<= )", n)]
-    texts = NOTICES + ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(200)] + [f"{rng.choice(NOTICES[3:12])} {rng.choice(NOTICES[3:12])}" for _ in range(50)]
+    texts = NOTICES + ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(200)] + [f"{rng.choice(NOTICES[3:12])} {rng.choice(NOTICES[3:12])}" for _ in range(50)] + [FULL_BSD.format(third=""), FULL_BSD.format(third=THIRD), FULL_MIT, NOTICES[-1] + " " + NOTICES[13], (FULL_MIT + "\n") * 300]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
@@ -36,9 +36,49 @@ def test_every_template_accepts_its_wording():
         least = re.sub(r"\{\w+:\d+\}", "", re.sub(r"\[\[[^\[\]]*\]\]", "", template))
         automata = ls.compiled()
         for text in (full, least):
-            assert label in {m[2] for m in ls.scan_text(text, automata)[2]}
+            assert ls.specific({label, *(m[2] for m in ls.scan_text(text, automata)[2])}) == {m[2] for m in ls.scan_text(text, automata)[2]}
+            assert label in {m[2] for m in ls.scan_text(text, automata)[2]} or label in ls.GENERAL
         words = least.split()
-        assert label not in {m[2] for m in ls.scan_text(" ".join([*words[:-1], "other"]), [(label, ls.Automaton(template))])[2]}
+        own = [(label, ls.Automaton(template))]
+        for i in range(len(words)):  # every mandatory word counts
+            changed = " ".join([*words[:i], "zzz", *words[i + 1 :]])
+            assert not any(m[1] - m[0] >= len(words) for m in ls.scan_text(changed, own)[2]), (label, words[i])
+
+
+FULL_BSD = """Copyright (c) 2001, The Ünion of Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+FULL_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licences():
+    labels = lambda text: {m[2] for m in ls.scan_text(text, ls.compiled())[2]}
+    assert labels(FULL_BSD.format(third="")) == {"bsd-2-clause", "all-rights-reserved"}
+    assert labels(FULL_BSD.format(third=THIRD)) == {"bsd-3-clause", "all-rights-reserved"}
+    assert labels(FULL_BSD.format(third="").replace("TORT", "DELICT")) == {"bsd", "all-rights-reserved"}
+    assert labels("MIT License Copyright (c) 2020 A B " + FULL_MIT) == {"mit"} and labels(FULL_MIT.replace("sublicense", "lend")) == set()
+    assert labels("Apache License Version 2.0, January 2004") == {"apache-2.0"}
+    assert labels("the GNU Lesser General Public License version 2.1") == {"lgpl-2.1"}
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert labels(notice) == {"lgpl-3.0", "lgpl-3.0-or-later"} and labels(notice.replace("Lesser ", "")) == {"gpl-3.0", "gpl-3.0-or-later"}
+
+
+def test_anchors_follow_the_templates():
+    for more in ([], [("new", "some {x:3} wholly new wording"), ("odd", "[[ license ]] zyx")]):
+        automata = ls.compiled(ls.TEMPLATES + more)
+        found = ls.anchors(automata)
+        assert all(any(a.decode() in automaton.mandatory for a in found) for _, automaton in automata)
+        assert all(any(a.decode() in p.split() for a in found) for p in ls.PHRASES)
+    assert [m[2] for m in ls.scan_text("Some wholly new wording", automata)[2]] == ["new"]
 
 
 def test_language_of_held_out_documents(spark):
