@@ -66,7 +66,7 @@ _APACHE = (
     "see the license for the specific language governing permissions and limitations under the license"
 )
 _GNU = (
-    "{program:6} is free software you can redistribute it and or modify it under the terms of the gnu LESSER general public license as published by the free software foundation either version VERSION of the license or at your option any later version "
+    "is free software you can redistribute it and or modify it under the terms of the gnu LESSER general public license as published by the free software foundation either version VERSION of the license or at your option any later version "
     "[[ {program:6} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu LESSER general public license for more details ]]"
 )
 
