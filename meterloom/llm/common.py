@@ -62,13 +62,13 @@ def hot_keys(df: DataFrame, key: str, least: int = 20_000) -> list:
     return [r[0] for r in counts.where(F.col("__n") > floor).select(key).collect() if r[0] is not None]
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", least: int = 20_000) -> DataFrame:
     """left join right, where right has one row a key and left may hold a third of its rows in one key.
 
     Rows of hot keys meet the few matching rows of right by broadcast (at most 1/HOT_SHARE rows);
     all other rows meet by shuffle.
     """
-    hot = hot_keys(left, key)
+    hot = hot_keys(left, key, least)
     if not hot:  # merged, as the planner's estimate of an exploded side is far too small to broadcast by
         return left.join(right.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -16,7 +16,9 @@ a group (there are at most PIECES x shards of them) is dealt into pieces by doc_
 and sizes stay within a few hundredths of each other.
 
 Size is the UTF-8 length plus 8; a null text has length 0 and crc32 0. Null and repeated doc_ids and
-repeated rows are points like any other. An empty table gives no rows.
+repeated rows are points like any other; rows that tie in all of key and text may get each other's slot. A very long text may be
+larger than a shard, which then holds it alone. An empty table gives no rows. Extra columns are dropped by ``shard``;
+``write_shards`` keeps them, and a column named ``shard`` or ``slot`` as ``doc_shard`` or ``doc_slot``.
 """
 
 from __future__ import annotations
@@ -36,15 +38,16 @@ DIMENSIONS = ("x0", "x1", "x2")
 SLOT_ROWS = 100_000
 
 
-def points(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, size, text_crc32, the text's hash and its coordinates (integers)."""
+def points(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """key, size, text_crc32, the text's hash and its coordinates (integers); with `whole` also the row itself."""
     t = F.col("__text")
     blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), *own)
     n = F.octet_length(t).cast("long")
     per = lambda c: F.coalesce(F.floor(F.try_divide(c * 10_000, n)), F.lit(0)).cast("long")
     return rows.select(
-        "key", (n + 8).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t, F.lit("shard")).alias("h"),
+        "key", *(["row"] if whole else []), (n + 8).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t, F.lit("shard")).alias("h"),
         F.floor(F.log2(n + 8) * 1000).cast("long").alias("x0"), per(blanks).alias("x1"), per(n - F.length(t)).alias("x2"),
     )
 
@@ -143,12 +146,16 @@ def _narrow(at: DataFrame, search: dict, fine: int) -> None:
 
 def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, size, text_crc32, shard and slot (gapless from 0 in each shard)."""
-    rows = common.stash(points(docs, key, text), "points")
+    return _sharded(docs, shards, target_bytes, key, text).select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot")
+
+
+def _sharded(docs: DataFrame, shards: int | None, target_bytes: int | None, key: str, text: str, whole: bool = False) -> DataFrame:
+    rows = common.stash(points(docs, key, text, whole), "points")
     if shards is None:
         shards = max(1, round((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     ordered = with_order(rows, shards)
     tree = grow(ordered, shards)
-    return _slots(ordered.withColumn("shard", tree.column(lambda x: x.first).cast("int")), shards).select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot")
+    return _slots(ordered.withColumn("shard", tree.column(lambda x: x.first).cast("int")), shards)
 
 
 def _slots(rows: DataFrame, shards: int) -> DataFrame:
@@ -163,12 +170,18 @@ def _slots(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("place", place).join(starts, ["shard", "part"]).withColumn("slot", (F.col("begun") + F.col("place")).cast("long"))
 
 
-def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
-    """Writes docs with shard and slot under `path`, one folder a shard; doc ids must be unique."""
-    key = how.get("key", "doc_id")
-    out = docs.join(shard(docs, **how).select(key, F.col("shard"), F.col("slot")), key)
+def write_shards(docs: DataFrame, path: str, shards: int | None = SHARDS, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes docs with shard and slot under `path`, one folder a shard; the rows travel with their points, so nothing is joined by key."""
+    rows = _sharded(docs, shards, target_bytes, key, text, whole=True)
+    named: list[str] = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in ("shard", "slot") or name != c and name in docs.columns:
+            name = f"doc_{name}"
+        named.append(name)
+    out = rows.select("shard", "slot", *[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, named, strict=True)])
     out.write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,11 +11,16 @@ into one bucket of table v: no link is missed. Only distinct fingerprints are de
 so exact copies, however many, are one row.
 
 A bucket emits a spanning forest of its links, never its pairs. Buckets with more than 1/10,000 of
-all rows (and over ``least_hot``) are dealt again by masks of the next level; there are at most
-10,000 of these, so their list is broadcast. Inside a task a large bucket is split the same way.
+all rows (and over ``least_hot``), and any with more than MOST_ROWS, are dealt again by masks of the next level. There are
+at most max(10,000, rows / MOST_ROWS) of these, so their list, 8 bytes each, is broadcast; where it could pass MOST_HOT, all
+rows are dealt again instead. Inside a task a large bucket is split the same way.
 
 Components. Rounds of "point to the smallest neighbour, follow pointers, contract" halve the nodes at
 least; links stay distributed, and every round is written to the shared folder.
+
+Very long texts are read whole. Ties: a bit that just half of the votes set is 0. Repeated rows have one fingerprint and class each;
+null keys get a class, but are no class's name. Empty tables give no rows. Extra columns are dropped by ``classes``, whatever
+their names, and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ RADIUS = 4
 SHINGLE = 4
 #: Buckets with more rows than 1/HOT_BUCKETS of the total are dealt again.
 HOT_BUCKETS = 10_000
+#: A bucket with more rows than this is always dealt again: a task holds it as 8 bytes a row.
+MOST_ROWS = 1_000_000
+#: The longest list of hot buckets that is broadcast.
+MOST_HOT = 4_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -154,18 +163,21 @@ def _bucket_edges(rows: DataFrame, radius: int, level: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         pairs: list[int] = []
-        held_b, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple] = []  # parts of the bucket that may go on in the next batch, joined once it is whole
         for batch in batches:
-            held_b = np.concatenate([held_b, batch.column(0).to_numpy()])
-            held_f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(held_b):
+            b, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(b):
                 continue
-            last = int(np.searchsorted(held_b, held_b[-1]))  # the last bucket may go on in the next batch
-            if last:
-                yield edges(held_b[:last], held_f[:last])
-                held_b, held_f = held_b[last:], held_f[last:]
-        if len(held_b):
-            yield edges(held_b, held_f)
+            last = int(np.searchsorted(b, b[-1]))  # b is sorted
+            if held and (last or b[0] != held[0][0][0]):
+                held.append((b[:last], f[:last]))
+                yield edges(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            elif last:
+                yield edges(b[:last], f[:last])
+            held.append((b[last:], f[last:]))
+        if held:
+            yield edges(*map(np.concatenate, zip(*held, strict=True)))
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
@@ -177,17 +189,21 @@ def links(fps: DataFrame, radius: int = RADIUS, least_hot: int = 4096) -> DataFr
     for level in range(4):
         tables = [F.xxhash64(F.lit(t), F.col("bucket"), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(level, radius))]
         rows = rows.select(F.explode(F.array(*tables)).alias("bucket"), "fp")
-        hot = []
+        hot = None
         if level < 3:
             counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
             total = fps.count() * len(tables) if level == 0 else rows.count()
-            most = max(least_hot, total // HOT_BUCKETS)
+            most = max(least_hot, min(total // HOT_BUCKETS, MOST_ROWS))
             if total > most:
-                hot = [(r.bucket,) for r in common.bounded(counts.where(F.col("n") > most).select("bucket"), HOT_BUCKETS, "hot buckets")]
-        if not hot:
+                hot = common.stash(counts.where(F.col("n") > most).select("bucket"), "hot-buckets")
+                n = hot.count()
+                if n > MOST_HOT:  # too many to tell apart: all rows go on
+                    continue
+                hot = hot if n else None
+        if hot is None:
             part = _bucket_edges(rows, radius, level)
             return (found.unionByName(part) if found is not None else part).distinct()
-        hot_df = F.broadcast(common.small_table(rows.sparkSession, hot, "bucket bigint"))
+        hot_df = F.broadcast(hot)
         part = _bucket_edges(rows.join(hot_df, "bucket", "left_anti"), radius, level)
         found = found.unionByName(part) if found is not None else part
         rows = rows.join(hot_df, "bucket", "left_semi")
@@ -221,7 +237,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
     found = components(links(fps, radius, least_hot))
     named = found.select(F.col("node").alias("fp"), "root")
     least = fps.join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = fps.join(common.join_unique(named, least, "root").select("fp", "component_id"), "fp", "left")
+    by_fp = fps.join(common.join_unique(named, least, "root", least=500).select("fp", "component_id"), "fp", "left")
     by_fp = common.stash(by_fp.select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return common.join_unique(rows, by_fp, "fp").select(key, "fp", "component_id")
 

@@ -65,8 +65,18 @@ def near(rng, n=400):
     return fps
 
 
-@pytest.mark.parametrize("least_hot", [3, 4096])
-def test_components_of_links_against_all_pairs(spark, least_hot):
+@pytest.mark.parametrize(("least_hot", "most_hot", "batch"), [(3, 4_000_000, 7), (3, 2, 10_000), (4096, 4_000_000, 1)])
+def test_components_of_links_against_all_pairs(spark, monkeypatch, least_hot, most_hot, batch):
+    """Hot buckets dealt again, too many of them to tell apart, buckets that go over several batches."""
+    monkeypatch.setattr(simhash, "MOST_HOT", most_hot)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        components_against_all_pairs(spark, least_hot)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def components_against_all_pairs(spark, least_hot):
     rng = random.Random(least_hot)
     fps = list(dict.fromkeys(near(rng)))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
@@ -113,3 +123,9 @@ def test_null_and_repeated_keys_and_empty_table(spark):
     assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()) == [(0, "p q r s t"), (4, "other words here now"), (9, "lone text of nine")]
     assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.classes(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    text = "a b c d e " * 100_000
+    got = simhash.classes(spark.createDataFrame([(1, text), (2, text + "a b"), (3, "a b")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
