@@ -4,13 +4,16 @@
    one position sequence (ranks of the block's distinct words, compressed), and the distinct words
    become packed rows keyed by (block, word bucket). Both go to a table in the shared folder.
 2. The packed words are shuffled by bucket, so all occurrences of a word meet in one place, where it
-   is encoded once. The number of buckets grows with the input; the most frequent word costs one entry a
-   block, however often it occurs.
+   is encoded once. The number of buckets grows with the input, and the blocks with the buckets, up to
+   MOST_BLOCK_BYTES, so that a packed row stays worth its head; the most frequent word costs one entry a block,
+   however often it occurs.
 3. The ids are shuffled back by block and every document is reassembled by position; decoding looks
    every id of the document up in the token-byte table.
 
 Null and empty texts have no tokens and decode to nothing. Repeated rows are encoded row by row; the
-key column may be null, of any type, and named freely. Very long texts make a block of their own.
+key column may be null, of any type, and named freely. Very long texts make a block of their own. Words that tie in
+frequency are ranked by first sight, which no id depends on. An empty table gives no rows; extra columns are dropped, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from meterloom.llm import common
 
 BUCKETS = (64, 4096)  # at least and at most; one per BUCKET_BYTES of input in between
 BUCKET_BYTES = 8 << 20
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES, MOST_BLOCK_BYTES = 24 << 20, 64 << 20
 
 
 def pattern_for_regex(pattern: str) -> str:
@@ -258,7 +261,7 @@ def _reassemble(rows: DataFrame, ranks: bytes, key: str, key_type, digest: bool)
     return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False, buckets: int | None = None, block_bytes: int | None = None) -> DataFrame:
     """One row per document: its key, n_tokens, ids (array of int) and decoded (binary).
 
     With ``digest`` the last two are the SHA-256 of the decimal ids joined by commas and of the
@@ -269,6 +272,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     ranks = common.file_bytes(ranks_path)
     if buckets is None:
         buckets = min(max(common.planned_bytes(docs) // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
+    if block_bytes is None:
+        block_bytes = min(BLOCK_BYTES * max(1, buckets // 512), MOST_BLOCK_BYTES)
     kept = common.stash(_split(docs, key, text, pattern, buckets, block_bytes), "bpe-split")
     ids = _encode_words(kept.where(F.col("bucket") >= 0), ranks, pattern)
     return _reassemble(kept.where(F.col("bucket") < 0).unionByName(ids), ranks, key, docs.schema[key].dataType, digest)

@@ -3,30 +3,36 @@
 Every rule is evaluated once per document; its failure is one bit of ``fail_bits`` and its
 measurement is kept beside it. A policy is a named, versioned set of rules, that is, a bit mask:
 applying a policy, comparing policies and leaving one rule out of a policy are bitwise
-operations on the ledger and never read the texts again.
+operations on the ledger and never read the texts again. ``write_ledger`` stores a ledger, ``annotate``
+puts it beside the documents' own columns, and ``filter_documents`` applies a policy to that.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. A null or empty text has no words: all measurements are 0
-and it fails ``few_words``. Repeated rows are measured row by row. Extra columns are dropped by
-``ledger`` and pass through ``filter_documents`` unchanged, whatever their names.
+and it fails ``few_words``. Very long texts are measured whole. Measurements are counts, so ties need no order; a
+document fails a rule only beyond its limit. Repeated rows are measured row by row; an empty table gives an empty
+ledger, and every rule of an ablation with counts of 0. Extra columns are dropped by ``ledger`` and pass through
+``annotate`` and ``filter_documents`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks"]
 
-#: Rule -> (bit, condition of failure over the measurements). A bit never changes its meaning.
-RULES: dict[str, tuple[int, str]] = {
-    "few_words": (0, "n_words < 10"),
-    "repeated_windows": (1, "100 * n_repeat_words > 20 * n_words"),
-    "many_symbols": (2, "10 * n_symbols > 3 * n_words"),
-    "duplicate_lines": (3, "n_lines >= 4 AND 10 * n_dup_lines > 6 * n_lines"),
-    "shouting": (4, "n_letters >= 40 AND 10 * n_upper > 6 * n_letters"),
-    "many_marks": (5, "10 * n_marks > 5 * n_words"),
-    "long_words": (6, "n_words >= 10 AND word_chars > 25 * n_words"),
-    "short_words": (7, "n_words >= 10 AND word_chars < 2 * n_words"),
+#: Rule -> (bit, condition of failure). A condition is written once over measurements by name and serves Spark
+#: columns, numbers and SQL text alike. A bit never changes its meaning.
+RULES: dict[str, tuple[int, Callable]] = {
+    "few_words": (0, lambda m: m["n_words"] < 10),
+    "repeated_windows": (1, lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 20),
+    "many_symbols": (2, lambda m: m["n_symbols"] * 10 > m["n_words"] * 3),
+    "duplicate_lines": (3, lambda m: (m["n_lines"] >= 4) & (m["n_dup_lines"] * 10 > m["n_lines"] * 6)),
+    "shouting": (4, lambda m: (m["n_letters"] >= 40) & (m["n_upper"] * 10 > m["n_letters"] * 6)),
+    "many_marks": (5, lambda m: m["n_marks"] * 10 > m["n_words"] * 5),
+    "long_words": (6, lambda m: (m["n_words"] >= 10) & (m["word_chars"] > m["n_words"] * 25)),
+    "short_words": (7, lambda m: (m["n_words"] >= 10) & (m["word_chars"] < m["n_words"] * 2)),
 }
 
 #: Policy -> its rules. A published policy is never edited; a change gets a new version.
@@ -97,31 +103,56 @@ def _measured(texts):
 
 def fail_bits(measure=F.col) -> Column:
     """The ledger's bits from the measurements; `measure` gives the column of a measurement."""
+    m = {name: measure(name) for name in MEASURES}
     bits = F.lit(0).cast("long")
-    for _, (bit, failed) in RULES.items():
-        bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
+    for bit, failed in RULES.values():
+        bits = bits.bitwiseOR(F.when(failed(m), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
-def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: `keep`, the measurements and fail_bits."""
+def _measure(rows: DataFrame, at: int, kept: list) -> DataFrame:
+    """The columns `kept` (a schema's fields, the first ones of rows) and one array of measurements; the text is column `at`."""
     import pyarrow as pa
-    from pyspark.sql.types import LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-    kept = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = StructType([*[kept.schema[c] for c in keep], *[StructField(m, LongType()) for m in MEASURES]])
+    schema = StructType([*kept, StructField("__m", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
-            found = _measured(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i]) for i in range(len(MEASURES))]], names=[*keep, *MEASURES])
+            found = _measured(batch.column(at).to_pylist())
+            own = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(MEASURES)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], own], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: `keep`, the measurements and fail_bits."""
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    found = _measure(rows, len(keep), list(rows.schema.fields[:-1]))
+    found = found.select(*keep, *[F.col("__m")[i].alias(m) for i, m in enumerate(MEASURES)])
+    return found.withColumn("fail_bits", fail_bits())
+
 
-    return kept.mapInArrow(run, schema).withColumn("fail_bits", fail_bits())
+def write_ledger(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Stores the ledger as Parquet and returns the table: policies read it, not the texts."""
+    rows = ledger(docs, text, keep)
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def annotate(docs: DataFrame, text: str = "text", name: str = "__ledger") -> DataFrame:
+    """docs with a column of their measurements and fail_bits, in one pass without a shuffle."""
+    found = _measure(docs, docs.columns.index(text), list(docs.schema.fields))
+    bits = fail_bits(lambda m: F.col("__m")[MEASURES.index(m)])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*[F.col("__m")[i].alias(m) for i, m in enumerate(MEASURES)], bits.alias("fail_bits")).alias(name))
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
-    """The ledger with `kept` under a policy."""
-    return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0)
+    """The ledger with `kept` under a policy, n_failed of its rules, and only_rule: the one that alone rejects (without it the document is kept)."""
+    own = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long"))
+    only = F.coalesce(*[F.when(own == 1 << RULES[r][0], F.lit(r)) for r in POLICIES[policy]])
+    return rows.withColumns({"kept": own == 0, "n_failed": F.bit_count(own).cast("long"), "only_rule": only})
 
 
 def ablate(rows: DataFrame, policy: str) -> DataFrame:
@@ -140,44 +171,41 @@ def ablate(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: str = "text-1", text: str = "text") -> DataFrame:
-    """The documents that a policy keeps, with all their columns, in one pass without a shuffle."""
-    import numpy as np
-    import pyarrow as pa
+    """The documents that a policy keeps by their ledger, with all their columns, in one pass without a shuffle."""
+    kept = F.col("__ledger.fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
+    return annotate(docs, text).where(kept).drop("__ledger")
 
-    at, wanted = docs.columns.index(text), mask(policy)
-    rules = [(RULES[r][0], r) for r in POLICIES[policy]]
 
-    def run(batches):
-        for batch in batches:
-            m = dict(zip(MEASURES, _measured(batch.column(at).to_pylist()).T, strict=True))
-            bits = np.zeros(batch.num_rows, np.int64)
-            for bit, rule in rules:
-                bits |= _failed(rule, m).astype(np.int64) << bit
-            yield batch.filter(pa.array((bits & wanted) == 0))
+class _Sql(str):
+    """A piece of SQL: renders the rules' conditions."""
 
-    return docs.mapInArrow(run, docs.schema)
+    def __mul__(self, n):
+        return _Sql(f"{n} * {self}")
 
+    def __lt__(self, other):
+        return _Sql(f"({self} < {other})")
 
-def _failed(rule: str, m: dict):
-    """The condition of a rule over arrays of measurements: RULES' own text, read as an expression."""
-    import numpy as np
+    def __gt__(self, other):
+        return _Sql(f"({self} > {other})")
+
+    def __ge__(self, other):
+        return _Sql(f"({self} >= {other})")
 
-    out = None
-    for part in RULES[rule][1].split(" AND "):
-        found = eval(part, {"__builtins__": {}}, m)  # noqa: S307  the text is a constant of this module
-        out = found if out is None else np.logical_and(out, found)
-    return out
+    def __and__(self, other):
+        return _Sql(f"({self} AND {other})")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the ledger of all documents under the policy text-1."""
     rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "text-1")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(mask("base-1")).cast("long")) != 0).alias("base_failed"), "kept", "n_lines", "n_upper", "n_letters", "n_marks", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(mask("base-1")).cast("long")) != 0).alias("base_failed"), "kept", "n_lines", "n_upper", "n_letters", "n_marks", "fail_bits", "n_failed", "only_rule")
 
 
 def sql() -> str:
     """DuckDB SQL for the rows of op1."""
-    bits = " + ".join(f"CASE WHEN {failed} THEN {1 << bit} ELSE 0 END" for bit, failed in RULES.values())
+    names = {m: _Sql(m) for m in MEASURES}
+    bits = " + ".join(f"CASE WHEN {failed(names)} THEN {1 << bit} ELSE 0 END" for bit, failed in RULES.values())
+    only = " ".join(f"WHEN {1 << RULES[r][0]} THEN '{r}'" for r in POLICIES["text-1"])
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
@@ -194,4 +222,4 @@ m AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_trans
       FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask("base-1")}) <> 0 AS base_failed, (fail_bits & {mask("text-1")}) = 0 AS kept,
-       n_lines, n_upper, n_letters, n_marks, fail_bits FROM b"""
+       n_lines, n_upper, n_letters, n_marks, fail_bits, bit_count(fail_bits & {mask("text-1")})::BIGINT AS n_failed, CASE fail_bits & {mask("text-1")} {only} END AS only_rule FROM b"""

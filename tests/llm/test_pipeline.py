@@ -22,7 +22,7 @@ def expected(spark, sf_dir):
     model = centroid_lang.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").where(~centroid_lang.held_out()))
     docs = [d for d, j in zip(docs, centroid_lang._judge([d[1] for d in docs], model), strict=True) if not j[2]]
     wanted = quality_rules.mask("text-1")
-    docs = [d for d in docs if not sum(1 << b for b, f in quality_rules.RULES.values() if eval(f.replace("AND", "and"), {}, dict(zip(quality_rules.MEASURES, measures(d[1]), strict=True)))) & wanted]
+    docs = [d for d in docs if not sum(1 << b for b, f in quality_rules.RULES.values() if f(dict(zip(quality_rules.MEASURES, measures(d[1]), strict=True)))) & wanted]
     roots = classes([(d[0], fingerprint(d[1])) for d in docs])
     docs = [d for d, c in zip(docs, roots, strict=True) if d[0] == c]
     docs = [d for d in docs if not held_items(items, d[1])]

@@ -31,14 +31,14 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_ledger_policies_and_filter(spark):
+def test_ledger_policies_and_filter(spark, tmp_path):
     rows = [(i, t, 7) for i, t in enumerate(texts())] + [(3, "a", 7), (None, "b c", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fail_bits int").repartition(3)
     ledger = q.ledger(docs)
     want = {}
     for _, t, _ in rows:
         m = dict(zip(q.MEASURES, plain(t), strict=True))
-        want[t] = sum(1 << b for b, f in q.RULES.values() if eval(f.replace("AND", "and"), {}, m))
+        want[t] = sum(1 << b for b, f in q.RULES.values() if f(m))
     got = sorted((r.doc_id is None, r.doc_id or 0, r.fail_bits) for r in ledger.collect())
     assert got == sorted((k is None, k or 0, want[t]) for k, t, _ in rows)
     for policy in q.POLICIES:
@@ -49,6 +49,13 @@ def test_ledger_policies_and_filter(spark):
         for r in q.ablate(ledger, policy).collect():
             bit = 1 << q.RULES[r.rule][0]
             assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(bool(x & bit) for x in own), own.count(bit), own.count(0) + own.count(bit))
+        for r in q.apply_policy(ledger, policy).select("fail_bits", "kept", "n_failed", "only_rule").collect():
+            failed = [rule for rule in q.POLICIES[policy] if r.fail_bits >> q.RULES[rule][0] & 1]
+            assert (r.kept, r.n_failed, r.only_rule) == (not failed, len(failed), failed[0] if len(failed) == 1 else None)
+    stored = q.write_ledger(docs, f"file://{tmp_path}/ledger")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, ledger.collect()))
+    assert q.annotate(docs).columns == [*docs.columns, "__ledger"]
+    assert sorted(str((r.text, r["__ledger"].fail_bits)) for r in q.annotate(docs).collect()) == sorted(str((t, want[t])) for _, t, _ in rows)
     assert q.ledger(docs.limit(0)).count() == 0 and q.filter_documents(docs.limit(0)).count() == 0
     assert q.ablate(q.ledger(docs.limit(0)), "text-1").count() == len(q.RULES)
 
