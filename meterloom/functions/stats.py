@@ -72,28 +72,55 @@ def average_rank(by: list[str], order: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
-def percentile_ranks(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
-    """(value, pct): the rank of every distinct value over all rows, ties averaged, divided by the row count.
+def counted_before(counts: DataFrame, by: list[str], value: str, n: str, buckets: int = 256) -> DataFrame:
+    """counts (one row per group and value, n rows each) with `before`: rows of the group with smaller values, and `of`: all of its rows.
 
-    Values are counted first; buckets by approximate quantiles of the distinct values are ranked apart and
-    offset by the totals of the buckets before them, so no task orders the whole table.
+    Each group's values are cut into buckets by approximate quantiles; buckets are summed apart and offset by the
+    totals of those before them, so no task orders a whole group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)]).alias("c"))
-    b = counts.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter(F.coalesce("c", F.array()), lambda x: x < F.col("value")))).drop("c")
-    totals = b.groupBy("b").agg(F.sum("n").alias("t"))
-    lists = totals.agg(F.sort_array(F.collect_list(F.struct("b", "t"))).alias("l"), F.sum("t").alias("all"))  # at most `buckets` pairs
-    before = F.sum("n").over(Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    x = b.withColumn("inside", F.coalesce(before, F.lit(0))).crossJoin(F.broadcast(lists))
-    offset = F.aggregate(F.filter("l", lambda p: p["b"] < F.col("b")), F.lit(0).cast("long"), lambda s, p: s + p["t"])
-    return x.select("value", ((offset + F.col("inside") + (F.col("n") + 1) / 2) / F.col("all")).alias("pct"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)]).alias("__c"))
+    b = counts.join(cuts, by).withColumn("__b", F.size(F.filter("__c", lambda x: x < F.col(value)))).drop("__c")
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(*by, "__b").agg(F.sum(n).alias("__t"))  # at most `buckets` rows a group
+    whole = Window.partitionBy(*by)
+    sums = sums.select(*by, "__b", F.coalesce(F.sum("__t").over(until(whole.orderBy("__b"))), F.lit(0)).alias("__o"), F.sum("__t").over(whole).alias("of"))
+    inside = F.coalesce(F.sum(n).over(until(Window.partitionBy(*by, "__b").orderBy(value))), F.lit(0))
+    return b.withColumn("__i", inside).join(sums, [*by, "__b"]).withColumn("before", F.col("__o") + F.col("__i")).drop("__b", "__i", "__o")
+
+
+def percentile_ranks(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """(value, pct): the rank of every distinct value over all rows, ties averaged, divided by the row count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("__g", F.lit(0))
+    x = counted_before(counts, ["__g"], "value", "n", buckets)
+    return x.select("value", ((F.col("before") + (F.col("n") + 1) / 2) / F.col("of")).alias("pct"))
 
 
 def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """Area under the ROC curve per group by rank sums; null where one class is missing."""
-    ranked = df.withColumn("__r", average_rank(by, score))
-    n1, n = F.sum(label), F.count(F.lit(1))
-    return ranked.groupBy(*by).agg(((F.sum(F.when(F.col(label) == 1, F.col("__r"))) - n1 * (n1 + 1) / 2) / F.when((n1 > 0) & (n1 < n), n1 * (n - n1))).alias("auc"))
+    """Area under the ROC curve per group by rank sums, ties averaged; null where one class is missing."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__v")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(label).cast("long")).alias("__n1"))
+    x = counted_before(counts, by, "__v", "__n")
+    n1, n = F.sum("__n1"), F.sum("__n")
+    ranks = F.sum(F.col("__n1") * (F.col("before") + (F.col("__n") + 1) / 2))
+    return x.groupBy(*by).agg(((ranks - n1 * (n1 + 1) / 2) / F.when((n1 > 0) & (n1 < n), n1 * (n - n1))).alias("auc"))
+
+
+def numbered(df: DataFrame, by: list[str], key: str, *salt: int, parts: int = 1024) -> DataFrame:
+    """df with `number` (0, 1, ... within its group, in a random order that a hash of key and salt fixes) and `of` (rows of the group).
+
+    The hash cuts each group into parts of like size, which are numbered apart and offset by the sizes of the parts
+    before; one task never orders a whole group. Null groups are groups.
+    """
+    df = df.withColumn("__h", F.xxhash64(key, *[F.lit(s) for s in salt])).withColumn("__p", F.pmod(F.shiftright("__h", 20), F.lit(parts)))
+    sizes = df.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))  # at most `parts` rows a group
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__p").alias("__q"), before.alias("__o"), F.sum("__n").over(whole).alias("of"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__h", key)) - 1
+    same = F.col("__p") == F.col("__q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = df.withColumn("__i", inside).join(sizes, same).withColumn("number", F.col("__o") + F.col("__i"))
+    return out.drop("__h", "__p", "__q", "__o", "__i", *[f"__by_{c}" for c in by])
 
 
 def rounded(c: Column, digits: int = 6) -> Column:

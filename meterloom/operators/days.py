@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions import profiles as p
+from meterloom.session import tasks
 
 ZERO_KW = 0.02
 EXPORT_NOISE_KW = 0.05
@@ -26,21 +27,26 @@ def clean(raw: DataFrame, noise_kw: float = EXPORT_NOISE_KW) -> DataFrame:
     return counted.withColumn("kw", p.each(kw, lambda v, k: F.when(v < low, F.lit(0.0)).otherwise(v)))
 
 
-def house_days(raw: DataFrame, noise_kw: float = EXPORT_NOISE_KW) -> DataFrame:
+def _dealt(raw: DataFrame, dealt: bool) -> DataFrame:
+    """raw dealt by house before anything wide is made of it; `dealt`: it already is."""
+    return raw if dealt else raw.repartition(tasks(raw.sparkSession), "mp_id")
+
+
+def house_days(raw: DataFrame, noise_kw: float = EXPORT_NOISE_KW, dealt: bool = False) -> DataFrame:
     """One row per house, channel and day: the meters summed (a slot is missing only if it is for all).
 
-    The rows are dealt by house before they are grouped, so every later grouping or window of a house
-    reuses this one shuffle.
+    The rows are dealt by house before they are cleaned, so all cores share the work and every later grouping or
+    window of a house reuses this one shuffle. dealt: the rows already are.
     """
-    rows = clean(raw, noise_kw).select(*KEY, "kw", "n_neg", "vmax_raw").repartition("mp_id")
+    rows = clean(_dealt(raw, dealt), noise_kw).select(*KEY, "kw", "n_neg", "vmax_raw")
     days = rows.groupBy(*KEY).agg(F.collect_list("kw").alias("all"), F.sum("n_neg").alias("n_neg"), F.max("vmax_raw").alias("vmax_raw"))
     return days.select(*KEY, _sum_arrays(False).alias("kw"), "n_neg", "vmax_raw")
 
 
-def strict_days(raw: DataFrame) -> DataFrame:
+def strict_days(raw: DataFrame, dealt: bool = False) -> DataFrame:
     """As house_days, but a slot needs every meter and a meter-day with a negative value is missing altogether."""
-    rows = clean(raw).withColumn("kw", F.when(F.col("n_neg") == 0, F.col("kw")).otherwise(MISSING(96)))
-    days = rows.select(*KEY, "kw").repartition("mp_id").groupBy(*KEY).agg(F.collect_list("kw").alias("all"))
+    rows = clean(_dealt(raw, dealt)).withColumn("kw", F.when(F.col("n_neg") == 0, F.col("kw")).otherwise(MISSING(96)))
+    days = rows.select(*KEY, "kw").groupBy(*KEY).agg(F.collect_list("kw").alias("all"))
     return days.select(*KEY, _sum_arrays(True).alias("kw"))
 
 
@@ -65,10 +71,11 @@ def season_or_all(days: DataFrame, months: tuple[int, ...], name: str, by: list[
 
 def noon_windows(days: DataFrame) -> DataFrame:
     """Import days as windows from noon to the next day's noon; the morning is missing where the next day is."""
-    rows = days.where("channel = 'import'")
+    rows = days.where("channel = 'import'").withColumn("__half", F.slice("kw", 1, 48))
     w = Window.partitionBy("mp_id").orderBy("date")
-    morning = F.when(F.datediff(F.lead("date").over(w), F.col("date")) == 1, F.slice(F.lead("kw").over(w), 1, 48)).otherwise(MISSING(48))
-    return rows.withColumn("win", F.concat(F.slice("kw", 49, 48), morning))
+    rows = rows.withColumns({"__next": F.lead("date").over(w), "__morning": F.lead("__half").over(w)})
+    morning = F.when(F.datediff("__next", F.col("date")) == 1, F.col("__morning")).otherwise(MISSING(48))
+    return rows.withColumn("win", F.concat(F.slice("kw", 49, 48), morning)).drop("__half", "__next", "__morning")
 
 
 def local_day_hours(date: Column, zone: str = "Europe/Zurich") -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.functions import stats as st
+
 
 def mark(raw: Column) -> Column:
     """x is 1, - and blank are 0, anything else is unknown."""
@@ -41,9 +43,8 @@ def installation_dates(registry: DataFrame, meters: DataFrame, column: str = "ma
 
 def split(labelled: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Stratified split: of each class the first share by a hash of the house is the test set."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("mp_id", F.lit(seed)), "mp_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("label"))
-    return labelled.withColumn("test", F.row_number().over(w) <= F.round(n * test_share))
+    rows = st.numbered(labelled, ["label"], "mp_id", seed)
+    return rows.withColumn("test", F.col("number") < F.round(F.col("of") * test_share)).drop("number", "of")
 
 
 def header(name: Column) -> Column:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions import stats as st
+from meterloom.session import checkpointed, shared_path
 
 
 def require(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,43 +59,88 @@ def importances(model: RandomForestClassificationModel, features: list[str], n:
     return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:n]
 
 
-def _tree(tree) -> dict:
-    """A fitted tree as nested dicts (value: probability of class 1)."""
-    def walk(node):
-        stats = node.impurityStats().stats()
-        total = sum(stats)
-        out = {"value": stats[1] / total if total else 0.0}
-        if node.numDescendants() > 0:
-            s = node.split()
-            out |= {"feature": s.featureIndex(), "threshold": s.threshold(), "left": walk(node.leftChild()), "right": walk(node.rightChild())}
-        return out
+def trees_of(model: RandomForestClassificationModel) -> list[dict]:
+    """The fitted trees, each node number -> (probability of class 1, weight, feature, threshold, left, right).
 
-    return walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode"))
+    Read from the model's stored form in one pass; a leaf has no feature. A model's size bounds the result.
+    """
+    spark = SparkSession.active()
+    at = shared_path(spark, "forest")
+    model.write().overwrite().save(at)
+    trees: list[dict] = [{} for _ in range(model.getNumTrees)]
+    for r in spark.read.parquet(f"{at}/data").select("treeID", "nodeData.*").collect():
+        total = sum(r.impurityStats)
+        split = (r.split.featureIndex, r.split.leftCategoriesOrThreshold[0]) if r.leftChild >= 0 else (None, None)
+        trees[r.treeID][r.id] = (r.impurityStats[1] / total if total else 0.0, total, *split, r.leftChild, r.rightChild)
+    return trees
+
+
+def shapley(tree: dict, x: list[float]) -> tuple[float, dict[int, float]]:
+    """The tree's mean and the Shapley values of the features for one row: together its prediction.
+
+    A set of features is worth the mean over all leaves that its values allow, weighted by the training rows
+    where a feature outside the set decides. For one leaf with features F on its path, that worth is a
+    product over F of o (1 if the row takes the path's branches, else 0) inside the set and z (the share of rows that take them)
+    outside; the sums over all sets of one size are the coefficients of prod(z + o * y).
+    """
+    phi: dict[int, float] = {}
+    mean = 0.0
+    todo = [(0, {}, 1.0)]  # node, feature -> (z, o), share of rows
+    while todo:
+        i, path, share = todo.pop()
+        value, weight, feature, threshold, left, right = tree[i]
+        if feature is None:
+            mean += share * value
+            coefficients = [1.0]
+            for z, o in path.values():
+                coefficients = [z * (coefficients[k] if k < len(coefficients) else 0.0) + (o * coefficients[k - 1] if k else 0.0) for k in range(len(coefficients) + 1)]
+            d = len(path)
+            for f, (z, o) in path.items():
+                rest = _without(coefficients, z, o)
+                worth = sum(c * math.factorial(k) * math.factorial(d - 1 - k) for k, c in enumerate(rest)) / math.factorial(d)
+                phi[f] = phi.get(f, 0.0) + value * (o - z) * worth
+            continue
+        taken = left if x[feature] <= threshold else right
+        for child in (left, right):
+            part = tree[child][1] / weight if weight else 0.5
+            if part > 0:  # a branch without training rows has no share in any mean
+                z, o = path.get(feature, (1.0, 1.0))
+                todo.append((child, path | {feature: (z * part, o if child == taken else 0.0)}, share * part))
+    return mean, phi
+
+
+def _without(coefficients: list[float], z: float, o: float) -> list[float]:
+    """The coefficients of the product without its factor z + o * y (z > 0; o is 0 or 1)."""
+    if o == 0:
+        return [c / z for c in coefficients[:-1]]
+    out, carry = [], 0.0
+    for c in reversed(coefficients[1:]):
+        carry = c - z * carry
+        out.append(carry)
+    return out[::-1]
+
+
+def contributions(model: RandomForestClassificationModel, row: dict, features: list[str]) -> tuple[float, dict[str, float]]:
+    """The forest's mean and every feature's exact Shapley value for one house: they add up to its score."""
+    x = [float(row.get(f) or 0.0) for f in features]
+    base, total = 0.0, dict.fromkeys(features, 0.0)
+    trees = trees_of(model)
+    for tree in trees:
+        mean, phi = shapley(tree, x)
+        base += mean / len(trees)
+        for f, v in phi.items():
+            total[features[f]] += v / len(trees)
+    return base, total
 
 
 def explain(model: RandomForestClassificationModel, row: dict, features: list[str], n: int = 5) -> list[tuple[str, float]]:
-    """The n largest signed contributions to one house's score, by decision paths.
-
-    Each split on the way to a leaf gives its feature the change of the node's mean; averaged over the trees,
-    contributions and the forest's mean add up to the score.
-    """
-    total = dict.fromkeys(features, 0.0)
-    for tree in model.trees:
-        node = _tree(tree)
-        while "feature" in node:
-            f = features[node["feature"]]
-            child = node["left"] if float(row.get(f) or 0.0) <= node["threshold"] else node["right"]
-            total[f] += (child["value"] - node["value"]) / model.getNumTrees
-            node = child
-    return sorted(total.items(), key=lambda x: (-abs(x[1]), x[0]))[:n]
+    """The n largest signed contributions to one house's score (Shapley values over the trees)."""
+    return sorted(contributions(model, row, features)[1].items(), key=lambda x: (-abs(x[1]), x[0]))[:n]
 
 
 def cross_validate(rows: DataFrame, features: list[str], folds: int = 5, label: str = "label", seed: int = 42, **how) -> tuple[float, float]:
     """Mean and population standard deviation of the AUC over stratified folds."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(label).orderBy(F.xxhash64("mp_id", F.lit(seed)), "mp_id")
-    dealt = rows.withColumn("__fold", F.row_number().over(w) % folds)
+    dealt = checkpointed(st.numbered(rows.select("mp_id", label, *features), [label], "mp_id", seed).withColumn("__fold", F.col("number") % folds).drop("number", "of"))
     aucs = []
     for k in range(folds):
         model = fit(dealt.where(F.col("__fold") != k), features, label, seed=seed, **how)

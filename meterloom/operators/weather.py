@@ -122,7 +122,7 @@ def to_quarter_hours(ten_minutes: DataFrame, start: str, end: str, zone: str = Z
 def grid_mean(quarters: DataFrame) -> DataFrame:
     """Mean of the stations at each quarter-hour, ignoring gaps; irradiance not below 0; two decimals."""
     g = quarters.groupBy("t", "local").agg(F.avg("irr").alias("i"), F.avg("temp").alias("c"))
-    return g.select("t", "local", F.round(F.when(F.col("i") < 0, 0.0).otherwise(F.col("i")), 2).alias("irradiance"), F.round("c", 2).alias("temperature"))
+    return g.select("t", "local", F.round(F.when(F.col("i") < 0, 0.0).otherwise(F.col("i")) + 1e-9, 2).alias("irradiance"), F.round(F.col("c") + 1e-9, 2).alias("temperature"))
 
 
 def daily_irradiation(grid: DataFrame, a: int = 9, b: int = 17, min_cover: float = 0.9) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import profiles as p
 from meterloom.functions import stats as st
-from meterloom.operators.days import complete_days, in_season
+from meterloom.operators.days import in_season
+from meterloom.session import checkpointed
 
 MIN_DAYS = 20
 HEAT = (10, 11, 12, 1, 2, 3, 4)
@@ -42,21 +43,20 @@ def hdd_fit(daily: DataFrame) -> DataFrame:
     return best.select("mp_id", "b.tau", "b.beta", r2.alias("r2"), (F.coalesce(r2 >= 0.1, F.lit(False)) & (F.col("b.tau") > 8) & (F.col("b.tau") < 20)).alias("identified"))
 
 
-def slots_of(q: DataFrame) -> DataFrame:
-    """One row per slot: mp_id, date, k, v."""
-    return q.select("mp_id", "date", F.posexplode("kw").alias("k", "v"))
-
-
 def pooled(q: DataFrame) -> DataFrame:
-    """Quantiles of all slots of a house, from counts of equal values."""
+    """Quantiles of all slots of a house's complete days.
+
+    A house's values are gathered as arrays and sorted once a season: 96 a day, some 35,000 for a year, so a house
+    stays small; no row per slot is made.
+    """
     s, w = in_season(p.SUMMER), in_season(p.WINTER)
-    counts = slots_of(q.withColumns({"s": s, "w": w}).select("mp_id", "date", "kw")).groupBy("mp_id", in_season(p.SUMMER).alias("s"), in_season(p.WINTER).alias("w"), "v").agg(F.count(F.lit(1)).alias("n"))
-    some = lambda t, q_: F.percentile(F.when(t, F.col("v")), F.lit(q_), F.col("n"))
-    mean = lambda t: F.sum(F.when(t, F.col("v") * F.col("n"))) / F.sum(F.when(t, F.col("n")))
-    every = F.lit(True)
-    return counts.groupBy("mp_id").agg(
-        some(every, 0.5).alias("p50"), some(every, 0.95).alias("p95"), some(every, 0.2).alias("p20"), mean(every).alias("pm"), some(F.col("w"), 0.95).alias("p95w"), mean(F.col("w")).alias("pmw"), some(F.col("s"), 0.95).alias("p95s"), mean(F.col("s")).alias("pms"), some(F.col("w"), 0.2).alias("p20w"), some(F.col("s"), 0.2).alias("p20s")
-    )
+    sets = {"": F.lit(True), "w": w, "s": s}
+    total = p.window_sum(F.col("kw"))
+    days = q.select("mp_id", "kw", total.alias("e"), *[t.alias(f"in{n}") for n, t in sets.items()])
+    a = days.groupBy("mp_id").agg(*[x for n in sets for x in (F.collect_list(F.when(F.col(f"in{n}"), F.col("kw"))).alias(f"l{n}"), (F.sum(F.when(F.col(f"in{n}"), F.col("e"))) / (96 * F.count(F.when(F.col(f"in{n}"), F.lit(1))))).alias(f"pm{n}"))])
+    a = p.sealed(a.select("mp_id", *[f"pm{n}" for n in sets], *[F.sort_array(F.flatten(f"l{n}")).alias(f"v{n}") for n in sets]))  # else every quantile would sort again
+    q_ = lambda n, x: p.sorted_quantile(F.col(f"v{n}"), F.size(f"v{n}"), x).alias(f"p{round(100 * x)}{n}")
+    return a.select("mp_id", "pm", "pmw", "pms", q_("", 0.5), *[q_(n, x) for n in sets for x in (0.95, 0.2)])
 
 
 def events(q: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
@@ -94,19 +94,23 @@ def fixed_time(q: DataFrame, base: DataFrame) -> DataFrame:
 
 def cold_high_load(q: DataFrame, flags: DataFrame) -> DataFrame:
     """Mean hours on cold days above the slot's usual warm-day load; flags: mp_id, date, warm, cold."""
-    s = slots_of(q.join(flags.where("warm OR cold"), ["mp_id", "date"]).select("mp_id", "date", "kw")).join(flags, ["mp_id", "date"])
-    w = Window.partitionBy("mp_id", "k")
-    s = s.withColumn("usual", F.percentile(F.when(F.col("warm"), F.col("v")), F.lit(0.5)).over(w))
-    s = s.withColumn("mad", F.percentile(F.when(F.col("warm"), F.abs(F.col("v") - F.col("usual"))), F.lit(0.5)).over(w))
-    high = F.col("usual") + F.greatest(F.lit(0.3), 3 * 1.4826 * F.col("mad"))
-    return s.where("cold").groupBy("mp_id").agg((F.sum((F.col("v") > high).cast("long")) / 4 / F.countDistinct("date")).alias("high_hours"))
+    rows = q.join(flags.where("warm OR cold"), ["mp_id", "date"])
+    warm, cold, kw = rows.where("warm").select("mp_id", "kw"), rows.where("cold").select("mp_id", "kw"), F.col("kw")
+    medians = lambda df, name: p.sealed(df.groupBy("mp_id").agg(F.array(*[F.percentile(p.at(kw, k), F.lit(0.5)) for k in range(p.SLOTS)]).alias(name)))
+    usual = medians(warm, "usual")
+    away = warm.join(usual, "mp_id").select("mp_id", p.each(kw, lambda v, k: F.abs(v - p.at(F.col("usual"), k))).alias("kw"))
+    limits = usual.join(medians(away, "mad"), "mp_id").select("mp_id", p.each(F.col("usual"), lambda u, k: u + F.greatest(F.lit(0.3), 3 * 1.4826 * p.at(F.col("mad"), k))).alias("limit"))
+    high = p.balanced([F.when(p.at(kw, k) > p.at(F.col("limit"), k), F.lit(1)).otherwise(F.lit(0)) for k in range(p.SLOTS)])
+    return cold.join(p.sealed(limits), "mp_id").groupBy("mp_id").agg((F.sum(high) / 4 / F.count(F.lit(1))).alias("high_hours"))
+
 
+def hp30(complete: DataFrame, weather: DataFrame, station_of: DataFrame) -> DataFrame:
+    """complete: complete days of strict house-days; weather: station, date, temp_c, irr; station_of: mp_id, station.
 
-def hp30(strict: DataFrame, weather: DataFrame, station_of: DataFrame) -> DataFrame:
-    """strict: strict house-days; weather: station, date, temp_c, irr; station_of: mp_id, station."""
+    A dozen branches read the days, so give a stored or checkpointed table.
+    """
     c = F.col
-    strict = strict.persist()  # read by a dozen branches below; evicted or recomputed by Spark as needed
-    q = complete_days(strict.where("channel = 'import'")).select("mp_id", "date", "kw")
+    q = complete.where("channel = 'import'").select("mp_id", "date", "kw")
     kw = c("kw")
     d = q.select("mp_id", "date", (p.window_sum(kw) / 4).alias("e"), (p.window_sum(kw, 0, 6) / 4).alias("n"), (p.window_sum(kw, 6, 24) / 4).alias("dd"))
     wx = station_of.select("mp_id", "station").join(weather.select("station", "date", c("temp_c").alias("t"), "irr"), "station").drop("station")
@@ -121,8 +125,9 @@ def hp30(strict: DataFrame, weather: DataFrame, station_of: DataFrame) -> DataFr
     d = d.withColumn("mad", F.percentile(F.when(c("warm"), F.abs(c("e") - c("b"))), F.lit(0.5)).over(h))
     d = d.withColumn("limit", F.when(c("b").isNotNull(), F.greatest(F.lit(3.0), 0.15 * c("b"), 3 * 1.4826 * c("mad"))))
     d = d.withColumns({"active": c("excess") > c("limit"), "hdd": F.when(c("t").isNotNull(), F.greatest(c("tau") - c("t"), F.lit(0.0)))})
-    base = pooled(q)
+    base = checkpointed(pooled(q))
     d = d.join(plateau_hours(q, base), ["mp_id", "date"], "left").withColumns({"hours": F.coalesce("hours", F.lit(0.0)), "need": F.when(c("t").isNotNull(), F.greatest(F.coalesce("tau", F.lit(15.0)) - c("t"), F.lit(0.0)))})
+    d = checkpointed(d)
     in_heat = lambda x: F.when(c("heat"), x)
     beta = lambda y: F.greatest(st.slope(c("hdd"), F.when(c("hdd").isNotNull(), y)), F.lit(0.0))
     tspan = lambda t: F.max(t) - F.min(t)
@@ -138,7 +143,7 @@ def hp30(strict: DataFrame, weather: DataFrame, station_of: DataFrame) -> DataFr
     years = d.where(c("identified") & c("t").isNotNull()).groupBy("mp_id", F.year("date").alias("y")).agg(F.count(F.lit(1)).alias("n"), st.count_if(c("t") <= c("tau") - 2).alias("k1"), st.count_if(c("t") >= c("tau")).alias("k2"), F.greatest(st.slope(c("hdd"), c("e")), F.lit(0.0)).alias("b"))
     years = years.where("n >= 60 AND k1 >= 20 AND k2 >= 20").groupBy("mp_id").agg(F.count("b").alias("yn"), F.avg("b").alias("ym"), F.stddev_pop("b").alias("ys"))
     weeks = d.where(c("cold") & c("heat")).groupBy("mp_id", F.date_trunc("week", "date").alias("wk")).agg(F.count(F.lit(1)).alias("n"), st.count_if(c("active")).alias("a")).where("n >= 3").groupBy("mp_id").agg(F.count(F.lit(1)).alias("wn"), F.avg((c("a") / c("n") >= 0.5).cast("double")).alias("ws"))
-    x = complete_days(strict.where("channel = 'export'")).select("mp_id", "date", (p.window_sum(kw) / 4).alias("x"), (p.window_sum(kw, 20, 6) / 4).alias("xn"))
+    x = complete.where("channel = 'export'").select("mp_id", "date", (p.window_sum(kw) / 4).alias("x"), (p.window_sum(kw, 20, 6) / 4).alias("xn"))
     x = x.join(d.select("mp_id", "date", "e", "irr", "s"), ["mp_id", "date"])
     sx, si = F.when(c("s"), c("x")), F.when(c("s"), c("irr"))
     x = x.groupBy("mp_id").agg(F.count(F.lit(1)).alias("xc"), F.sum("x").alias("x"), F.sum("xn").alias("xn"), F.sum("e").alias("xe"), F.when(st.pairs(sx, si) >= 20, st.pearson(sx, si)).alias("xi"))

@@ -46,7 +46,7 @@ def _bat(source):
 
 @query("f5_bat20", _bat(fx.METER_SQL))
 def bat20(spark, d):
-    return bat.bat20(house_days(fx.meter_days(spark, d)))
+    return bat.bat20(house_days(fx.meter_days(spark, d), dealt=True))
 
 
 @query("f5_bat20_sparse", _bat(fx.SPARSE_SQL))
@@ -83,7 +83,7 @@ _EVL = {"n_days": "n", "n_summer_days": "ns", "n_winter_days": "nw"}
 
 @query("f6_ev20", f"WITH {fx.METER_SQL}, {EV_DAYS}, {EV} SELECT {cols(_EV, _EVL, 'mp_id')} FROM g")
 def ev20(spark, d):
-    return ev.ev20(house_days(fx.meter_days(spark, d)))
+    return ev.ev20(house_days(fx.meter_days(spark, d), dealt=True))
 
 
 HP_DAYS = f"""hb AS (SELECT *, coalesce(quantile_cont(kw, 0.1) OVER (PARTITION BY mp_id, date), 0) AS base, coalesce(quantile_cont(kw, 0.99) OVER (PARTITION BY mp_id, date), 0) AS vp99 FROM s WHERE channel = 'import'),
@@ -112,4 +112,4 @@ _HP = {
 
 @query("f7_hp21", f"WITH {fx.METER_SQL}, {fx.WEATHER_SQL}, {HP_DAYS}, {HP} SELECT {cols(_HP, {'n_days': 'n', 'n_summer_days': 'ns', 'n_winter_days': 'nw', 'n_cold_days': 'nc'}, 'mp_id')} FROM g")
 def hp21(spark, d):
-    return hp.hp21(house_days(fx.meter_days(spark, d)), fx.daily_weather(spark, d).where("n = 1").select("date", "temp_c"))
+    return hp.hp21(house_days(fx.meter_days(spark, d), dealt=True), fx.daily_weather(spark, d).where("n = 1").select("date", "temp_c"))

@@ -22,7 +22,7 @@ KEY = "mp_id, channel, date"
 
 
 def _days(spark, d):
-    return dy.house_days(fx.meter_days(spark, d))
+    return dy.house_days(fx.meter_days(spark, d), dealt=True)
 
 
 def _by_house(df, **aggs):
@@ -97,7 +97,7 @@ ss AS (SELECT {KEY}, CAST(k AS INTEGER) AS k, CASE WHEN count(*) = count(CASE WH
 
 @query("p11_complete_days", f"{STRICT}, x AS (SELECT {KEY}, count(v) AS n FROM ss GROUP BY ALL) SELECT {cols(None, {'days': f'count(*) FILTER (n = 96 AND {_DST})'}, 'mp_id, channel')} FROM x GROUP BY mp_id, channel HAVING count(*) FILTER (n = 96 AND {_DST}) > 0")
 def p11(spark, d):
-    return dy.complete_days(dy.strict_days(fx.meter_days(spark, d))).groupBy("mp_id", "channel").agg(F.count(F.lit(1)).alias("days"))
+    return dy.complete_days(dy.strict_days(fx.meter_days(spark, d), dealt=True)).groupBy("mp_id", "channel").agg(F.count(F.lit(1)).alias("days"))
 
 
 @query("p12_negative_invalidates", f"{F1}, x AS (SELECT m, channel, min(wh) AS lo FROM raw GROUP BY ALL) SELECT channel, {cols(None, {'bad': 'count(*) FILTER (lo < 0)', 'all_rows': 'count(*)'})} FROM x GROUP BY channel")
@@ -158,7 +158,7 @@ def a3(spark, d):
 @query("a4_sum_meters_strict", f"{STRICT} SELECT {cols({'tot': 'sum(v)'}, {'slots': 'count(v)'}, 'mp_id, channel')} FROM ss GROUP BY mp_id, channel")
 def a4(spark, d):
     kw = F.col("kw")
-    x = dy.strict_days(fx.meter_days(spark, d)).select("mp_id", "channel", F.when(p.window_count(kw) > 0, p.window_sum(kw)).alias("t"), p.window_count(kw).alias("n"))
+    x = dy.strict_days(fx.meter_days(spark, d), dealt=True).select("mp_id", "channel", F.when(p.window_count(kw) > 0, p.window_sum(kw)).alias("t"), p.window_count(kw).alias("n"))
     return _by_house(x, tot=F.sum("t"), slots=F.sum("n"))
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterloom import fixtures as fx
+from meterloom.functions import profiles as p
 from meterloom.operators import weather as wx
 from meterloom.operators.days import complete_days, strict_days
 from meterloom.plans import hp30 as hp
 from meterloom.queries.base import SUMMER, WINTER, cols, query
 from meterloom.queries.pv import house_geo
+from meterloom.session import checkpointed
 
 _R = lambda a, b, f="1e-9": f"(({a}) / CASE WHEN ({b}) > {f} THEN ({b}) END)"
 _C = lambda a, b, n: f"CASE WHEN count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) >= {n} AND stddev_pop({a}) FILTER ({b} IS NOT NULL) > 1e-9 AND stddev_pop({b}) FILTER ({a} IS NOT NULL) > 1e-9 THEN covar_pop({a}, {b}) / (stddev_pop({a}) FILTER ({b} IS NOT NULL) * stddev_pop({b}) FILTER ({a} IS NOT NULL)) END"
@@ -81,10 +83,10 @@ HEAD = f"WITH {fx.METER_SQL}, {fx.WEATHER_SQL}, {QS}"
 
 
 def _inputs(spark, d):
-    strict = strict_days(fx.meter_days(spark, d))
+    complete = checkpointed(complete_days(strict_days(fx.meter_days(spark, d), dealt=True)).select("mp_id", "channel", "date", "kw"))
     weather = fx.daily_weather(spark, d)
-    dates = complete_days(strict.where("channel = 'import'")).select("mp_id", "date")
-    return strict, weather, wx.choose_for_house(house_geo(spark, d), dates, weather)
+    dates = complete.where("channel = 'import'").select("mp_id", "date")
+    return complete, weather, wx.choose_for_house(house_geo(spark, d), dates, weather)
 
 
 @query("f8_hp30", f"{HEAD}, {DAILY}, {FIT}, {REST} SELECT {cols(_FEATS, _LONGS, 'mp_id')}, CASE WHEN {_OK} THEN coalesce(identified, false) END AS balance_identified FROM a")
@@ -99,16 +101,15 @@ def house_station(spark, d):
 
 @query("a23_hdd_grid_search", f"{HEAD}, {DAILY}, {FIT} SELECT {cols({'tau': 'tau', 'beta': 'beta', 'r2': 'r2'}, None, 'mp_id, identified')} FROM fit")
 def hdd(spark, d):
-    strict, weather, station = _inputs(spark, d)
-    days = complete_days(strict.where("channel = 'import'"))
-    daily = days.select("mp_id", "date", (F.aggregate("kw", F.lit(0.0), lambda s, v: s + v) / 4).alias("e"))
+    complete, weather, station = _inputs(spark, d)
+    daily = complete.where("channel = 'import'").select("mp_id", "date", (p.window_sum(F.col("kw")) / 4).alias("e"))
     t = station.select("mp_id", "station").join(weather.select("station", "date", F.col("temp_c").alias("t")), "station").drop("station")
     return hp.hdd_fit(daily.join(t, ["mp_id", "date"], "left"))
 
 
 @query("w6_episodes_over_midnight", f"{HEAD}, d0 AS (SELECT DISTINCT mp_id, date FROM q), pq AS (SELECT mp_id, quantile_cont(v, 0.2) AS p20 FROM q GROUP BY mp_id), adj AS (SELECT mp_id, date, lag(date) OVER o = date - 1 AS pd, lead(date) OVER o = date + 1 AS nd FROM d0 WINDOW o AS (PARTITION BY mp_id ORDER BY date)), {_events('ea', '3')} SELECT {cols({'mean_cv': 'avg(cv)'}, {'n_events': 'count(*)', 'n_slots': 'sum(n)', 'longest': 'max(n)'}, 'mp_id')} FROM ea WHERE NOT cut AND idx = start GROUP BY mp_id")
 def episodes(spark, d):
-    q = complete_days(strict_days(fx.meter_days(spark, d)).where("channel = 'import'")).select("mp_id", "date", "kw")
+    q = complete_days(strict_days(fx.meter_days(spark, d), dealt=True).where("channel = 'import'")).select("mp_id", "date", "kw")
     return hp.events(q, hp.pooled(q), 3.0).where("idx = start").groupBy("mp_id").agg(F.avg("cv").alias("mean_cv"), F.count(F.lit(1)).alias("n_events"), F.sum("n").alias("n_slots"), F.max("n").alias("longest"))
 
 

@@ -12,14 +12,14 @@ from meterloom.queries.base import query
 from meterloom.session import shared_path
 from meterloom.sources import store
 
-FEATURES = [f"f{i}" for i in range(8)]
+FEATURES = [f"f{i}" for i in range(64)]
 
 
 def matrix(spark, d):
-    """FX6: the first 8 numbers of each embedding with a binary label; f0 is shifted by the label."""
+    """FX6: the 64 numbers of each embedding with a binary label; f0 is shifted by the label."""
     v = fx.table(spark, d, "embeddings")
     y = (F.col("label") % 2).cast("int")
-    feats = [(F.get("embedding", F.lit(i)).cast("double") + (y * 0.3 if i == 0 else 0.0)).alias(f"f{i}") for i in range(8)]
+    feats = [(F.get("embedding", F.lit(i)).cast("double") + (y * 0.3 if i == 0 else 0.0)).alias(f"f{i}") for i in range(64)]
     return v.select(F.col("vec_id").alias("mp_id"), y.alias("label"), *feats)
 
 
@@ -52,7 +52,7 @@ def l9(spark, d):
 
 @query("l10_cross_validation")
 def l10(spark, d):
-    mean, std = ml.cross_validate(matrix(spark, d), FEATURES, folds=3, trees=10, depth=4)
+    mean, std = ml.cross_validate(matrix(spark, d), FEATURES, folds=5, trees=10, depth=4)
     return spark.createDataFrame([(mean, std)], "auc double, deviation double")
 
 
@@ -79,12 +79,6 @@ def l13(spark, d):
     return spark.range(500).select(F.col("id").alias("mp_id")).select("mp_id", normal(0).alias("a"), normal(1).alias("b"), (normal(0) > 0).cast("long").alias("label"))
 
 
-@query("p17_median_fill")
-def p17(spark, d):
-    rows = matrix(spark, d).withColumn("f1", F.when(F.col("mp_id") % 3 != 0, F.col("f1"))).withColumn("f2", F.lit(None).cast("double"))
-    return hp30.median_fill(rows, FEATURES)
-
-
 @query("p16_fill_table", "SELECT p_partkey, CASE WHEN p_size > 25 THEN round(p_retailprice + 1e-9, 6) ELSE 1 END AS import_summer_to_winter_ratio, CAST(CASE WHEN p_size > 25 THEN 0 ELSE 1 END AS BIGINT) AS n_filled_features FROM part")
 def p16(spark, d):
     x = fx.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_retailprice")).alias("import_summer_to_winter_ratio"))
@@ -104,6 +98,15 @@ def pu4(spark, d):
     return pu.monte_carlo(rows.where("label = 1"), u, FEATURES, rounds=2, trees=5)
 
 
+@query("pu6_held_out_recall")
+def pu6_held_out(spark, d):
+    """Recall over positives that never teach and the positive share of the unlabelled, from real rounds."""
+    rows = matrix(spark, d).withColumn("known", F.expr("label = 1 AND f1 > 0"))
+    u = pu.sampling_weights(rows.where("label = 0"), "f0", 0.2, 0.2)
+    scores = pu.monte_carlo(rows.where("known"), u, FEATURES, rounds=2, trees=5, held_out=rows.where("label = 1 AND NOT known"))
+    return pu.summary(scores, 0.2)
+
+
 @query("pu5_bagging")
 def pu5(spark, d):
     """A third of the positives are known; the others are hidden among the unlabelled."""
@@ -128,18 +131,6 @@ def x1(spark, d):
     return e.groupBy("user_id", (F.col("ts") - F.expr("INTERVAL 12 HOURS")).cast("date").alias("noon_day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-
-
-@query("s13_store_round_trip", f"WITH {fx.METER_SQL} SELECT mp_id, channel, round(sum(r) + 1e-9, 6) AS tot, CAST(count(r) AS BIGINT) AS slots FROM kwr WHERE mp_id IN ('1', '2', '17', '18') AND date >= DATE '2023-05-01' AND date < DATE '2023-09-01' GROUP BY ALL")
-def s13(spark, d):
-    """Writes a store of all meter-days and reads four houses of one summer back, with pruned buckets."""
-    at = shared_path(spark, "store")
-    store.write(fx.meter_days(spark, d), at, buckets=16)
-    x = store.read(spark, at, houses=["1", "2", "17", "18"], dates=("2023-05-01", "2023-09-01"), n_buckets=16)
-    x = x.select("mp_id", "channel", prof.floored(F.col("kw")).alias("kw"))
-    return x.groupBy("mp_id", "channel").agg(F.sum(prof.window_sum(F.col("kw"))).alias("tot"), F.sum(prof.window_count(F.col("kw"))).alias("slots"))
-
-
 @query("s13_store_whole_round_trip", f"WITH {fx.METER_SQL} SELECT mp_id, channel, round(sum(r) + 1e-9, 6) AS tot, CAST(count(r) AS BIGINT) AS slots, CAST(count(DISTINCT date) AS BIGINT) AS days FROM kwr GROUP BY ALL")
 def s13_whole(spark, d):
     """Writes a store of all meter-days and reads all of it back."""
@@ -147,20 +138,3 @@ def s13_whole(spark, d):
     store.write(fx.meter_days(spark, d), at, buckets=16)
     x = store.read(spark, at, n_buckets=16).select("mp_id", "channel", "date", prof.floored(F.col("kw")).alias("kw"))
     return x.groupBy("mp_id", "channel").agg(F.sum(prof.window_sum(F.col("kw"))).alias("tot"), F.sum(prof.window_count(F.col("kw"))).alias("slots"), F.countDistinct("date").alias("days"))
-
-
-@query("s23_day_table_cache", f"WITH {fx.SERIES_SQL} SELECT mp_id, CAST(count(*) AS BIGINT) AS days FROM t GROUP BY mp_id")
-def s23(spark, d):
-    """A day table kept as Parquet under a name with its pack and version, read instead of rebuilt."""
-    at = shared_path(spark, "days-series-v1")
-    fx.day_series(spark, d).write.parquet(at)
-    return spark.read.parquet(at).groupBy("mp_id").agg(F.count(F.lit(1)).alias("days"))
-
-
-@query("s22_wide_sinks")
-def s22(spark, d):
-    """Model matrix as CSV with its feature list as JSON, read back."""
-    at = shared_path(spark, "matrix")
-    matrix(spark, d).write.csv(f"{at}/matrix", header=True)
-    spark.createDataFrame([(f,) for f in FEATURES], "feature string").write.json(f"{at}/features")
-    return spark.read.csv(f"{at}/matrix", header=True, inferSchema=True).select("mp_id", *[r.feature for r in spark.read.json(f"{at}/features").orderBy("feature").collect()])

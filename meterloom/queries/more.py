@@ -16,10 +16,47 @@ from meterloom.plans import pv
 from meterloom.queries import base, hp30, models, tables
 from meterloom.queries.base import SUMMER, cols, query
 from meterloom.queries.hp30 import DAILY, FIT, HEAD, REST
+from meterloom.queries.pv import CHOICE_SQL, house_geo
 from meterloom.sources import store
 
-for _new, _old in {"j13_interpolate_both_sides": "m2_interpolate", "l1_prepare_labels": "p18_marks", "l3_installation_dates": "j3_installation_dates", "m8_choose_station": "j10_nearest_station", "m9_house_place": "a28_mode", "w16_circular_window_max": "a27_circular_concentration"}.items():
-    base.QUERIES[_new], base.SQL[_new] = base.QUERIES[_old], base.SQL[_old]
+@query("j13_interpolate_both_sides", base.SQL["m2_interpolate"].replace("i * 300", "i * 420").replace("range(2000)", "range(1500)").replace("<= 3600", "<= 7200"))
+def j13(spark, d):
+    """As-of samples on both sides at 7-minute points, over gaps of up to two hours."""
+    s = tables.ten_minutes(spark, d)
+    lo = s.agg(F.expr("min(t) div 3600 * 3600").alias("a"))
+    grid = s.select("station").distinct().crossJoin(lo).select("station", F.explode(F.sequence(F.col("a"), F.col("a") + 1499 * 420, F.lit(420))).alias("t"))
+    return wx.interpolate(s, grid, max_gap=7200)
+
+
+@query("l1_unknown_marks", f"{tables.RG} SELECT trim(mark) AS mark, CAST(count(*) AS BIGINT) AS n FROM rg WHERE mark IS NOT NULL AND {tables.MARK} IS NULL GROUP BY 1")
+def l1(spark, d):
+    """What the label normaliser warns of: marks that mean neither yes nor no."""
+    return lb.unknown_marks(fx.registry(spark, d))
+
+
+@query("l3_installations_by_year", f"{tables.RG}, f AS (SELECT gp, min(try_strptime(installed, '%d.%m.%Y'))::DATE AS installed FROM rg WHERE {tables.MARK} = 1 GROUP BY gp HAVING min(try_strptime(installed, '%d.%m.%Y')) IS NOT NULL), h AS (SELECT mp_id, min(installed) AS installed FROM mt JOIN f USING (gp) GROUP BY mp_id) SELECT CAST(year(installed) AS BIGINT) AS year, CAST(count(*) AS BIGINT) AS houses FROM h GROUP BY 1")
+def l3(spark, d):
+    return lb.installation_dates(fx.registry(spark, d), fx.meters(spark, d)).groupBy(F.year("installed").alias("year")).agg(F.count(F.lit(1)).alias("houses"))
+
+
+@query("m8_choose_station", f"{tables.F1}, {fx.WEATHER_SQL}, {CHOICE_SQL} SELECT mp_id, station, temp_station, {cols({'station_km': 'station_km', 'temp_station_km': 'temp_station_km'})} FROM hg JOIN ch USING (plz)")
+def m8(spark, d):
+    """Every house's station, and the one that lends it temperatures."""
+    c = wx.choose_stations(house_geo(spark, d), fx.daily_weather(spark, d), fx.meter_days(spark, d).select("date").distinct())
+    return c.select("mp_id", "station", "temp_station", "station_km", "temp_station_km")
+
+
+@query("m9_house_place", f"{tables.F1}, x AS (SELECT mp_id, plz, count(*) AS n FROM fx GROUP BY ALL) SELECT mp_id, plz FROM (SELECT *, row_number() OVER (PARTITION BY mp_id ORDER BY n DESC, plz) AS r FROM x) WHERE r = 1")
+def m9(spark, d):
+    return wx.place_of_house(fx.meter_days(spark, d).select("mp_id", "plz"))
+
+
+@query("w16_circular_window_max", f"{tables.F1}, c AS (SELECT mp_id, k, count(*) FILTER (kw >= 5) AS n FROM s WHERE channel = 'import' GROUP BY ALL), w AS (SELECT mp_id, (k - a + 96) % 96 AS start, sum(n) AS n FROM c, range(8) AS r(a) GROUP BY ALL) SELECT mp_id, CAST(max(n) AS BIGINT) AS most FROM w GROUP BY mp_id")
+def w16(spark, d):
+    """Most slots of 5 kW or more of a house within any two hours of the clock, midnight included."""
+    days = dy.house_days(fx.meter_days(spark, d), dealt=True).where("channel = 'import'")
+    counts = days.groupBy("mp_id").agg(*[st.count_if(p.at(F.col("kw"), k) >= 5).alias(f"c{k}") for k in range(p.SLOTS)])
+    return counts.select("mp_id", F.greatest(*[p.balanced([F.col(f"c{(k + i) % 96}") for i in range(8)]) for k in range(p.SLOTS)]).alias("most"))
 
 
 @query("a19_bounded_contrast", f"WITH {fx.SERIES_SQL}, x AS (SELECT mp_id, avg(value) FILTER ({SUMMER}) AS a, avg(value) FILTER (NOT {SUMMER}) AS b FROM t GROUP BY mp_id) SELECT mp_id, {cols({'contrast': 'CASE WHEN a + b > 0 THEN (a - b) / (a + b) END'})} FROM x")
@@ -52,7 +89,7 @@ def a35(spark, d):
 @query("f9_single_house", base.SQL["f1_pv20s"] + " WHERE mp_id = '7'")
 def f9(spark, d):
     """One house: the filter reaches the scan, so no other house is read."""
-    return pv.pv20s(dy.house_days(fx.meter_days(spark, d).where("mp_id = '7'")))
+    return pv.pv20s(dy.house_days(fx.meter_days(spark, d).where("mp_id = '7'"), dealt=True))
 
 
 @query("l14_export_ids", f"{tables.RG}, {tables.HL} SELECT mp_id FROM hl")
@@ -79,9 +116,9 @@ def m3(spark, d):
     return _quarters(spark, d).select("station", "t", "irr", "temp")
 
 
-@query("m4_grid_mean", f"WITH {QUARTERS} SELECT t, CAST(count(irr) AS BIGINT) AS n_irr, round(greatest(avg(irr), 0) + 1e-9, 6) AS irradiance FROM q GROUP BY t")
+@query("m4_grid_mean", f"WITH {QUARTERS} SELECT t, round(round(CASE WHEN avg(irr) < 0 THEN 0 ELSE avg(irr) END + 1e-9, 2) + 1e-9, 6) AS irradiance, round(round(avg(temp) + 1e-9, 2) + 1e-9, 6) AS temperature FROM q GROUP BY t")
 def m4(spark, d):
-    return _quarters(spark, d).groupBy("t").agg(F.count("irr").alias("n_irr"), F.greatest(F.avg("irr"), F.when(F.count("irr") >= 0, F.lit(0.0))).alias("irradiance"))
+    return wx.grid_mean(_quarters(spark, d)).select("t", "irradiance", "temperature")
 
 
 @query("s11_bucket_ids", f"WITH {tables._B} SELECT mp_id FROM (SELECT DISTINCT bucket, mp_id FROM b WHERE bucket < 4 ORDER BY bucket, mp_id LIMIT 12)")
@@ -95,7 +132,10 @@ def s25(spark, d):
     return text.select("event_id", F.hour(F.from_utc_timestamp(F.to_timestamp("s", "yyyy-MM-dd'T'HH:mm:ssZ"), wx.ZONE)).alias("local_hour"))
 
 
-@query("t6_best_feature")
+_AUC = "x AS (SELECT label % 2 AS y, i, embedding[i]::DOUBLE + CASE WHEN i = 1 THEN (label % 2) * 0.3::DOUBLE ELSE 0 END AS v FROM embeddings, range(1, 65) AS r(i)), r AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2.0 AS rk FROM x), a AS (SELECT i, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r GROUP BY i)"
+
+
+@query("t6_best_feature", f"WITH {_AUC} SELECT 'f' || CAST(i - 1 AS VARCHAR) AS feature, CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END::BIGINT AS sign, round(auc + 1e-9, 6) AS auc FROM a ORDER BY abs(auc - 0.5) DESC, i LIMIT 1")
 def t6(spark, d):
     name, sign, auc = pu.guide_feature(models.matrix(spark, d), models.FEATURES)
     return spark.createDataFrame([(name, sign, float(auc))], "feature string, sign long, auc double")

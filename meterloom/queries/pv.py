@@ -59,7 +59,7 @@ _S_LONGS = {"n_days": "n_days", "n_summer_days": "ns", "n_winter_days": "nw", "h
 
 @query("f1_pv20s", f"{_s_sql()} SELECT {cols(_S_FEATS, _S_LONGS, 'mp_id')} FROM f2")
 def pv20s(spark, d):
-    return pv.pv20s(house_days(fx.meter_days(spark, d)))
+    return pv.pv20s(house_days(fx.meter_days(spark, d), dealt=True))
 
 
 @query("f1_pv20s_sparse", f"{_s_sql(fx.SPARSE_SQL)} SELECT {cols(_S_FEATS, _S_LONGS, 'mp_id')} FROM f2")
@@ -93,7 +93,7 @@ _T_LONGS = {"n_days": "n_days", "n_summer_days": "ns", "n_winter_days": "nw", "h
 
 @query("f2_pv20t", f"{_t_sql()} SELECT {cols(_T_FEATS, _T_LONGS, 'mp_id')} FROM g")
 def pv20t(spark, d):
-    return pv.pv20t(house_days(fx.meter_days(spark, d)))
+    return pv.pv20t(house_days(fx.meter_days(spark, d), dealt=True))
 
 
 @query("f2_pv20t_sparse", f"{_t_sql(fx.SPARSE_SQL)} SELECT {cols(_T_FEATS, _T_LONGS, 'mp_id')} FROM g")
@@ -109,7 +109,7 @@ fit AS (SELECT mp_id, count(*) AS n_irr_days, CASE WHEN count(*) >= 3 AND var_po
 SELECT {cols(_T_FEATS | {'irr_net_slope_kw_summer': 'coalesce(-b, 0)'}, _T_LONGS | {'n_irr_days': 'coalesce(n_irr_days, 0)'}, 'g.mp_id')} FROM g LEFT JOIN fit USING (mp_id)""",
 )
 def pv21(spark, d):
-    return pv.pv21(house_days(fx.meter_days(spark, d)), fx.daily_weather(spark, d).where("n = 1").select("date", "irr"))
+    return pv.pv21(house_days(fx.meter_days(spark, d), dealt=True), fx.daily_weather(spark, d).where("n = 1").select("date", "irr"))
 
 
 def house_geo(spark, d):
@@ -142,4 +142,4 @@ _25_NAMES = pv.EXPORT + pv.IMPORT + pv.WEATHER
 SELECT {cols({n: f'coalesce({n}, {v})' for n, v in pv.FILLS_25.items() if n != 'has_real_export'} | {'station_km': 'station_km', 'temp_station_km': 'temp_station_km'}, {n: n for n in _S_LONGS if n != 'has_real_export'} | {'has_real_export': 'coalesce(has_real_export, 0)', 'weather_common_summer_days': 'weather_common_summer_days', 'weather_common_winter_days': 'weather_common_winter_days', 'n_filled_features': ' + '.join(f'CAST({n} IS NULL AS INT)' for n in _25_NAMES)}, 'mp_id, plz, station, temp_station')} FROM t""",
 )
 def pv25(spark, d):
-    return pv.pv25(house_days(fx.meter_days(spark, d)), fx.daily_weather(spark, d), house_geo(spark, d))
+    return pv.pv25(house_days(fx.meter_days(spark, d), dealt=True), fx.daily_weather(spark, d), house_geo(spark, d))

@@ -14,6 +14,7 @@ from meterloom.operators import weather as wx
 from meterloom.plans import pv
 from meterloom.queries.base import SUMMER, cols, query
 from meterloom.queries.pv import CHOICE_SQL, house_geo
+from meterloom.session import tasks
 from meterloom.sources import meter_csv, store
 
 F1 = f"WITH {fx.METER_SQL}"
@@ -29,7 +30,7 @@ _LINES = "lines AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber)
 
 def lines(spark, d):
     """Text rows as in the monthly files, 96 values each: some counters unknown, dates unreadable, values missing."""
-    li = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate")
+    li = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate").repartition(tasks(spark))
     obis = F.when(F.col("l_linenumber") % 5 == 0, "1-1:9.9.9*255").when(F.col("l_linenumber") % 2 == 0, "1-1:2.29.0*255").otherwise("1-1:1.29.0*255")
     date = F.when(F.col("l_orderkey") % 11 == 0, "31.02.2023").otherwise(F.date_format("l_shipdate", "dd.MM.yyyy"))
     value = lambda k: F.when((F.col("l_orderkey") + k) % 13 == 0, "-").when((F.col("l_orderkey") + k) % 17 == 0, " ").otherwise((F.col("l_quantity").cast("long") * (k % 4) / 256).cast("string"))
@@ -76,14 +77,6 @@ def _bucketed(spark, d):
 _B = "b AS (SELECT CAST(l_suppkey AS VARCHAR) AS mp_id, CAST(l_suppkey % 16 AS INTEGER) AS bucket FROM lineitem)"
 
 
-@query("s7_read_store", f"{F1} SELECT mp_id, channel, {cols({'tot': 'sum(r)'}, {'slots': 'count(r)'})} FROM kwr WHERE date >= DATE '2023-06-01' AND date < DATE '2023-07-01' AND CAST(mp_id AS BIGINT) % 16 IN (1, 2, 3) GROUP BY mp_id, channel")
-def s7(spark, d):
-    lo, hi = meter_csv.month_range("Juni 2023")
-    x = _bucketed(spark, d).where(F.col("bucket").isin(1, 2, 3) & (F.col("date") >= F.lit(lo).cast("date")) & (F.col("date") < F.lit(hi).cast("date")))
-    x = x.select("mp_id", "channel", p.floored(F.col("kw")).alias("kw"))
-    return x.groupBy("mp_id", "channel").agg(F.sum(p.window_sum(F.col("kw"))).alias("tot"), F.sum(p.window_count(F.col("kw"))).alias("slots"))
-
-
 @query("s9_first_store_ids", f"WITH {_B} SELECT DISTINCT CAST(bucket AS BIGINT) AS bucket, mp_id FROM b ORDER BY 1, 2 LIMIT 15")
 def s9(spark, d):
     return store.first_ids(_bucketed(spark, d), 15)
@@ -105,11 +98,6 @@ def s15(spark, d):
     return store.stats(_bucketed(spark, d))
 
 
-@query("s20_rounded_sink", f"WITH {fx.SERIES_SQL} SELECT mp_id, {cols({'mean': 'round(avg(value) + 1e-9, 4)'})} FROM t GROUP BY mp_id")
-def s20(spark, d):
-    return fx.day_series(spark, d).groupBy("mp_id").agg(F.round(F.avg("value") + 1e-9, 4).alias("mean"))
-
-
 @query("s24_id_list", "SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS mp_id FROM supplier")
 def s24(spark, d):
     rows = fx.table(spark, d, "supplier").select(F.concat_ws(";", F.col("s_suppkey").cast("string"), "s_name").alias("value"))
@@ -136,7 +124,7 @@ _CH = "a AS (SELECT mp_id, date, coalesce(sum(kw), 0) AS i FROM s WHERE channel
 
 
 def _channels(spark, d):
-    x = dy.house_days(fx.meter_days(spark, d)).select("mp_id", "channel", "date", p.window_sum(F.col("kw")).alias("t"))
+    x = dy.house_days(fx.meter_days(spark, d), dealt=True).select("mp_id", "channel", "date", p.window_sum(F.col("kw")).alias("t"))
     side = lambda c, n: x.where(F.col("channel") == c).select("mp_id", "date", F.col("t").alias(n))
     return side("import", "i"), side("export", "e")
 
@@ -177,7 +165,7 @@ def j8(spark, d):
 
 @query("j9_electric_day_table", f"{F1}, x AS (SELECT mp_id, channel, date, CASE WHEN count(kw) = 96 THEN sum(kw) / 4 END AS kwh FROM s GROUP BY ALL), a AS (SELECT * FROM x WHERE channel = 'import'), b AS (SELECT * FROM x WHERE channel = 'export') SELECT a.mp_id, {cols({'i': 'sum(a.kwh)', 'e': 'sum(b.kwh)'}, {'days': 'count(*)', 'exporting': 'count(b.kwh)'})} FROM a LEFT JOIN b USING (mp_id, date) GROUP BY a.mp_id")
 def j9(spark, d):
-    e = pv.electricity(dy.house_days(fx.meter_days(spark, d)))
+    e = pv.electricity(dy.house_days(fx.meter_days(spark, d), dealt=True))
     return e.groupBy("mp_id").agg(F.sum("import_kwh").alias("i"), F.sum("export_kwh").alias("e"), F.count(F.lit(1)).alias("days"), F.count("export_kwh").alias("exporting"))
 
 

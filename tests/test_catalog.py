@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom import catalog
 
@@ -36,6 +37,6 @@ def test_models_run(spark, sf_dir):
     assert ml.evaluate(ml.score(model, rows, models.FEATURES)).first().auc > 0.8
     with pytest.raises(ValueError, match="f9"):
         ml.require(rows, ["f1", "f9"])
-    parts = dict(ml.explain(model, rows.first().asDict(), models.FEATURES, n=99))
-    base = sum(ml._tree(t)["value"] for t in model.trees) / model.getNumTrees
-    assert base + sum(parts.values()) == pytest.approx(ml.score(model, rows.limit(1), models.FEATURES).first().score, abs=0.25)
+    for r in rows.limit(3).collect():
+        base, parts = ml.contributions(model, r.asDict(), models.FEATURES)
+        assert base + sum(parts.values()) == pytest.approx(ml.score(model, rows.where(F.col("mp_id") == r.mp_id), models.FEATURES).first().score, abs=1e-9)

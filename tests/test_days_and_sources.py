@@ -61,14 +61,14 @@ def line(house, obis, date, values, meter=None):
 
 def test_layouts_and_parsing(spark, tmp_path):
     values = [str(k % 5) for k in range(94)] + ["-", " "]
-    old, new = line("7", "1-1:1.29.0*255", "05.06.2023", values, "1234567"), line(" 8 ", "1-1:2.29.0*255", "31.12.2024", values)
+    old, new = line("7", "1-1:1.29.0*255", "05.06.2023", values, "CH1234567"), line(" 8 ", "1-1:2.29.0*255", "31.12.2024", values)
     assert meter_csv.layout(old) == {"mp_id": 0, "meter": 1, "obis": 2, "date": 3, "plz": 4}
     assert meter_csv.layout(new) == {"mp_id": 0, "obis": 1, "date": 2, "plz": 3}
     with pytest.raises(ValueError):
         meter_csv.layout("1;2;3")
     rows = [new, line("9", "1-1:9.9.9*255", "01.01.2024", values), line("9", "1-1:1.29.0*255", "31.02.2024", values), "short;row", line("10", "1-1:1.29.0*255", "01.01.2024", values)]
     path = tmp_path / "Juni 2024.csv"
-    path.write_text("﻿MP ID;OBIS;Datum;PLZ\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    path.write_text("\ufeffMP ID;OBIS;Datum;PLZ\n" + "\n".join(rows) + "\n", encoding="utf-8")
     got = {r.mp_id: r for r in meter_csv.read(spark, f"file://{path}").collect()}
     assert set(got) == {"8", "10"} and got["8"].channel == "export" and got["8"].date == D(2024, 12, 31)
     assert got["8"].kw[:3] == [0.0, 4.0, 8.0] and got["8"].kw[94:] == [None, None] and got["8"].plz == "5000"
