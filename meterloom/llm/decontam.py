@@ -15,7 +15,7 @@ do: 19.4 of 128 with a deviation of 4.1, so the radius of 31 loses about one in
 are just similar enough, and none that are equal; two random fingerprints come within it once in 10**8.
 
 Windows are only formed where they can pass: at similarity s, a window must hold at least s times as
-many known shingles (those of any item) as the item has, so windows with fewer are skipped without loss.
+many known shingles (those of any item of its length) as the item has, so windows with fewer are skipped without loss.
 
 The items are the stated query set, repeated ones taken once. They are read in blocks of at most MOST_ITEMS rows and
 MOST_ITEM_BYTES (a longer item is a block of its own), each small enough to send with the tasks, and every
@@ -160,14 +160,14 @@ class Items:
             self.sizes.append(len(words))
             fps.append(fingerprint(shingles))
             own = min(width, len(words))
-            codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-            seen.setdefault(own, []).append(self._mix(codes, own))
+            codes = self._mix(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), own)
+            seen.setdefault(own, []).append((codes, np.full(len(codes), len(words), np.int64)))
         self.by_size = {}
         for size in sorted(set(self.sizes)):
             at = [i for i, n in enumerate(self.sizes) if n == size]
             self.by_size[size] = (at, MultiIndex([fps[i] for i in at], radius))
         # Known shingles by word hashes of this process; a chance hit only makes a window more.
-        self.known = {w: self._known(np.concatenate(codes)) for w, codes in sorted(seen.items())}
+        self.known = {w: self._known(*map(np.concatenate, zip(*codes, strict=True))) for w, codes in sorted(seen.items())}
         self._weights: dict[int, dict] = {}
         self.windows = self.candidates = 0
 
@@ -206,13 +206,15 @@ class Items:
         return keys
 
     @staticmethod
-    def _known(codes):
+    def _known(codes, sizes):
+        """Distinct codes, a quick table of them, and the lengths of the items of each: where its list begins, and the lists."""
         import numpy as np
 
-        keys = np.unique(codes)
+        pairs = np.unique(np.stack([codes, sizes.astype(np.uint64)], axis=1), axis=0)
+        keys, first = np.unique(pairs[:, 0], return_index=True)
         bits = np.zeros(1 << 20, bool)
         bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return keys, bits
+        return keys, bits, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
 
     def find(self, text: str | None) -> list[tuple]:
         """(item id, first word, word after the last, similarity) of the best window of every item found."""
@@ -223,27 +225,31 @@ class Items:
             return []
         codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
         hits = {}
-        for width, (keys, bits) in self.known.items():
+        for width, (keys, bits, first, sizes) in self.known.items():
             mixed = self._mix(codes, width)
-            hit = bits[(mixed & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(bits[(mixed & np.uint64((1 << 20) - 1)).astype(np.int64)])
             if len(at):
-                hit[at] = keys[np.minimum(np.searchsorted(keys, mixed[at]), len(keys) - 1)] == mixed[at]
-                if hit.any():
-                    hits[width] = hit
+                place = np.minimum(np.searchsorted(keys, mixed[at]), len(keys) - 1)
+                at, place = at[keys[place] == mixed[at]], place[keys[place] == mixed[at]]
+                n = first[place + 1] - first[place]
+                own = sizes[np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                at = np.repeat(at, n)
+                for size in np.unique(own).tolist():
+                    hits[size] = at[own == size]
         return self._verify(words, hits) if hits else []
 
     def _verify(self, words, hits) -> list[tuple]:
+        """The items found, from the places of known shingles by the length of their items."""
         from collections import Counter
 
         import numpy as np
 
         best: dict = {}
-        for width, hit in hits.items():
-            before = np.concatenate([[0], np.cumsum(hit)])
-            places = np.flatnonzero(hit)
-            made: dict[int, object] = {}
-            again: dict[tuple, object] = {}  # fingerprints of windows that repeat a shingle
+        made_of: dict[int, dict] = {}
+        again: dict[tuple, object] = {}  # fingerprints of windows that repeat a shingle
+        for size, places in hits.items():
+            width = min(self.width, size)
+            made = made_of.setdefault(width, {})
 
             def bits(a, b, width=width, made=made):
                 """Votes of the shingles a to b, hashed on demand."""
@@ -251,37 +257,36 @@ class Items:
                 made.update(zip(new, digests([b" ".join(words[i : i + width]) for i in new]), strict=True))
                 return simhash_bits(np.array([made[i] for i in range(a, b)], np.uint64))
 
-            for size, (at, index) in self.by_size.items():
-                if min(self.width, size) != width:
-                    continue
-                length = min(size, len(words))  # a document shorter than the items is one window
-                n = length - width + 1  # shingles of a window
-                starts = np.arange(max(0, int(places[0]) - n + 1), min(len(words) - length, int(places[-1])) + 1)
-                starts = starts[before[starts + n] - before[starts] >= self.similarity * (size - width + 1) - 1e-9]
-                if not len(starts):
-                    continue
-                cuts = np.flatnonzero(np.diff(starts) > n) + 1
-                for run in np.split(starts, cuts):
-                    votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bits(int(run[0]), int(run[-1]) + n), axis=0)])
-                    offsets = run - run[0]
-                    prints = pack_bits(votes[offsets + n] - votes[offsets])
-                    for w in np.flatnonzero(self._repeats(words, int(run[0]), int(run[-1]) + n, width)[offsets + n - 1] >= run).tolist():
-                        own = tuple(words[int(run[w]) : int(run[w]) + length])
-                        if own not in again:
-                            again[own] = fingerprint(shingles_of(list(own), self.width))
-                        prints[w] = again[own]
-                    weights = {}
-                    self.windows += len(run)
-                    for w, j in zip(*(x.tolist() for x in index.near_many(prints)), strict=True):
-                        start, i = int(run[w]), at[j]
-                        self.candidates += 1
-                        if start not in weights:
-                            weights[start] = Counter(shingles_of(words[start : start + length], self.width))
-                        similarity = weighted_similarity(weights[start], self.weights(i))
-                        if similarity >= self.similarity - 1e-12:
-                            own = (-similarity, start, start + length)
-                            if i not in best or own < best[i]:
-                                best[i] = own
+            at, index = self.by_size[size]
+            length = min(size, len(words))  # a document shorter than the items is one window
+            n = length - width + 1  # shingles of a window
+            starts = np.arange(max(0, int(places[0]) - n + 1), min(len(words) - length, int(places[-1])) + 1)
+            held = np.searchsorted(places, starts + n) - np.searchsorted(places, starts)
+            starts = starts[held >= self.similarity * (size - width + 1) - 1e-9]
+            if not len(starts):
+                continue
+            cuts = np.flatnonzero(np.diff(starts) > n) + 1
+            for run in np.split(starts, cuts):
+                votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bits(int(run[0]), int(run[-1]) + n), axis=0)])
+                offsets = run - run[0]
+                prints = pack_bits(votes[offsets + n] - votes[offsets])
+                for w in np.flatnonzero(self._repeats(words, int(run[0]), int(run[-1]) + n, width)[offsets + n - 1] >= run).tolist():
+                    own = tuple(words[int(run[w]) : int(run[w]) + length])
+                    if own not in again:
+                        again[own] = fingerprint(shingles_of(list(own), self.width))
+                    prints[w] = again[own]
+                weights = {}
+                self.windows += len(run)
+                for w, j in zip(*(x.tolist() for x in index.near_many(prints)), strict=True):
+                    start, i = int(run[w]), at[j]
+                    self.candidates += 1
+                    if start not in weights:
+                        weights[start] = Counter(shingles_of(words[start : start + length], self.width))
+                    similarity = weighted_similarity(weights[start], self.weights(i))
+                    if similarity >= self.similarity - 1e-12:
+                        own = (-similarity, start, start + length)
+                        if i not in best or own < best[i]:
+                            best[i] = own
         return [(self.ids[i], a, b, -s) for i, (s, a, b) in sorted(best.items(), key=lambda x: (x[1][1], x[0]))]
 
 
