@@ -28,6 +28,8 @@ FILE_TOKENS = 2 << 20
 END_ID = 2
 MAGIC = b"MLWM0002"
 BLOCK = 1 << 15  # bits of a plane that are compressed together
+#: Ranges of letters that make one pre-token with their neighbours (asked of the library before they are relied on).
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
 def build(ids, doc_ids: bytes, lengths, levels: int = 16) -> bytes:
@@ -79,8 +81,11 @@ class WaveletFile:
             parts.append(raw[at : at + size])
             at += size
         self.doc_ids, self._lengths, self._data = parts[0], parts[1], parts[3::2]
-        self._ones, self._ends = zip(*(np.frombuffer(d, "<u4").reshape(2, -1).astype(np.int64) for d in parts[2::2]), strict=True)
+        directories = [np.frombuffer(d, "<u4").reshape(2, -1).astype(np.int64) for d in parts[2::2]]
+        self._ones, self._ends = [d[0] for d in directories], [d[1] for d in directories]
+        self._step = BLOCK
         self._held: dict[tuple[int, int], object] = {}
+        self._counts: dict[tuple[int, int], object] = {}
 
     @property
     def lengths(self):
@@ -101,28 +106,65 @@ class WaveletFile:
             found = self._held[level, block] = np.frombuffer(raw if len(raw) == size else zstandard.ZstdDecompressor().decompress(raw), np.uint8)
         return found
 
+    def _before(self, level: int, block: int):
+        """Ones before each byte of a block, and in all of it."""
+        import numpy as np
+
+        found = self._counts.get((level, block))
+        if found is None:
+            found = self._counts[level, block] = np.concatenate([[0], np.cumsum(np.bitwise_count(self._block(level, block)), dtype=np.int64)])
+        return found
+
+    def load(self) -> WaveletFile:
+        """Reads all planes at once: from then on each is one block, and many places are looked up without a loop."""
+        import numpy as np
+
+        if self._step == BLOCK and self.n > BLOCK:
+            for level in range(self.levels):
+                whole = np.concatenate([self._block(level, b) for b in range(len(self._ends[level]) - 1)])
+                for b in range(len(self._ends[level]) - 1):
+                    del self._held[level, b]
+                self._held[level, 0] = whole
+                self._ones[level] = self._ones[level][[0, -1]]
+            self._counts.clear()
+            self._step = self.n
+        return self
+
     def _by_block(self, blocks):
         """(block, places in blocks) for every distinct block."""
         import numpy as np
 
+        if not len(blocks) or blocks[0] == blocks.max() == blocks.min():
+            if len(blocks):
+                yield int(blocks[0]), slice(None)
+            return
         order = np.argsort(blocks, kind="stable")
         cuts = np.flatnonzero(np.diff(blocks[order])) + 1
-        for part in np.split(order, cuts) if len(order) else ():
+        for part in np.split(order, cuts):
             yield int(blocks[part[0]]), part
 
     def _rank1(self, level: int, places):
         """Ones among the first bits of a plane, for an array of places."""
         import numpy as np
 
-        blocks = places // BLOCK
+        blocks = places // self._step
         out = self._ones[level][blocks]
         for b, part in self._by_block(blocks):
-            off = places[part] - b * BLOCK
+            off = places[part] - b * self._step
             if off.any():
                 raw = self._block(level, b)
-                whole, rest = off // 8, off % 8
-                ones = np.concatenate([[0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)])
-                out[part] += ones[whole] + np.where(rest > 0, np.bitwise_count(raw[np.minimum(whole, len(raw) - 1)] >> (8 - rest).astype(np.uint8)), 0)
+                whole, rest = off >> 3, off & 7
+                out[part] += self._before(level, b)[whole] + np.where(rest > 0, np.bitwise_count(raw[np.minimum(whole, len(raw) - 1)] >> (8 - rest).astype(np.uint8)), 0)
+        return out
+
+    def _bits(self, level: int, places):
+        """The bits of a plane at an array of places."""
+        import numpy as np
+
+        out = np.empty(len(places), np.int64)
+        for b, part in self._by_block(places // self._step):
+            off = places[part] - b * self._step
+            out[part] = self._block(level, b)[off >> 3] >> (7 - (off & 7)).astype(np.uint8) & 1
         return out
 
     def _select(self, level: int, bit: int, ks):
@@ -130,12 +172,15 @@ class WaveletFile:
         import numpy as np
 
         ones = self._ones[level]
-        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        before = ones if bit else np.minimum(np.arange(len(ones)) * self._step, self.n) - ones
         blocks = np.searchsorted(before, ks, side="right") - 1
         out = np.empty(len(ks), np.int64)
         for b, part in self._by_block(blocks):
-            bits = np.unpackbits(self._block(level, b), count=min(self.n - b * BLOCK, BLOCK))
-            out[part] = b * BLOCK + np.flatnonzero(bits == bit)[ks[part] - before[b]]
+            inside, k = self._before(level, b), ks[part] - before[b]
+            inside = inside if bit else 8 * np.arange(len(inside)) - inside
+            at = np.searchsorted(inside, k, side="right") - 1
+            bits = np.cumsum(np.unpackbits(self._block(level, b)[at]).reshape(-1, 8) == bit, axis=1)
+            out[part] = b * self._step + 8 * at + (bits <= (k - inside[at])[:, None]).sum(axis=1)
         return out
 
     def access_many(self, places):
@@ -145,8 +190,7 @@ class WaveletFile:
         at = np.asarray(places, np.int64)
         value = np.zeros(len(at), np.int64)
         for level in range(self.levels):
-            ones = self._rank1(level, at)
-            bit = self._rank1(level, at + 1) - ones
+            ones, bit = self._rank1(level, at), self._bits(level, at)
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
             value = value << 1 | bit
         return value
@@ -208,7 +252,7 @@ class WaveletFile:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         seq = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            raw = [self._block(level, b) for b in range(len(self._ends[level]) - 1)]
+            raw = [self._block(level, b) for b in range(-(-self.n // self._step))]
             ones = np.unpackbits(np.concatenate(raw) if raw else np.empty(0, np.uint8), count=self.n).view(bool)
             low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             before = np.empty_like(seq)
@@ -248,17 +292,21 @@ class Chunks(Recent):
     A chunk that begins with a line feed had no blank before it.
     """
 
-    def __init__(self, encode, tokenize, blank: str, marks: str, bytes_of, most: int):
+    def __init__(self, encode, tokenize, letters: dict[int, str], marks: str, bytes_of, most: int):
+        import re
+
         super().__init__(most)
-        self.encode, self.tokenize, self.blank, self.marks, self.bytes_of = encode, tokenize, blank, marks, bytes_of
+        self.encode, self.tokenize, self.letters, self.blank, self.marks, self.bytes_of = encode, tokenize, letters, letters[32], marks, bytes_of
+        self.latin = re.compile(f"[{LATIN}]+").fullmatch
         self.tails: dict[str, bytes] = {}
 
     def make(self, chunk):
         feed = chunk[:1] == "\n"
         body = chunk[1:] if feed else chunk
         word = body.rstrip(self.marks)
-        if word.isascii() and word.isalpha():  # one pre-token, whose letters the vocabulary spells as they are
-            ids = self.bytes_of([t.id for t in self.tokenize(word if feed else self.blank + word)])
+        if self.latin(word):  # one pre-token
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.bytes_of([t.id for t in self.tokenize(spelt if feed else self.blank + spelt)])
             return (self._tail("\n") if feed else b"") + ids + (self._tail(body[len(word) :]) if len(word) < len(body) else b"")
         if not body or body[0].isspace() or body[-1].isspace():
             raise Irregular
@@ -268,7 +316,7 @@ class Chunks(Recent):
         found = self.tails.get(marks)
         if found is None:
             found = self.encode(marks)
-            if len(marks) <= 3:
+            if len(marks) <= 4:
                 self.tails[marks] = found
         return found
 
@@ -298,14 +346,11 @@ class WordEncoder:
         if self.size == 2:
             self.pairs = [bytes((i & 255, i >> 8)) for i in range(1 << 16)]
         self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
-        marks = self._probe(says)
-        self.chunks = None
-        if marks is not None:
-            blank = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
-            self.chunks = Chunks(self._library, self.library.model.tokenize, blank, marks, self._bytes, self.CHUNKS)
-
-    def _probe(self, says: dict) -> str | None:
-        """The marks that the pre-tokenizer splits from a word before them, or None where texts can't be cut."""
+        found = self._probe(says)
+        self.chunks = Chunks(self._library, self.library.model.tokenize, *found, self._bytes, self.CHUNKS) if found else None
+
+    def _probe(self, says: dict) -> tuple[dict[int, str], str] | None:
+        """How bytes are spelt, and the marks that the pre-tokenizer splits from a word before them; None where texts can't be cut."""
         if says.get("normalizer") or not self.library.pre_tokenizer or says["pre_tokenizer"]["type"] != "ByteLevel":
             return None
         pieces = lambda text: [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
@@ -313,9 +358,14 @@ class WordEncoder:
             for b in ("cd", ".d", "2", "é", "中", "'s", "…"):
                 if pieces(f"{a} {b}") != pieces(a) + pieces(f" {b}") or pieces(f"{a}\n{b}") != pieces(a) + pieces(f"\n{b}"):
                     return None
-        if pieces(" ab") != [" ab"] or pieces("\nab") != ["\n", "ab"] or self.library.pre_tokenizer.pre_tokenize_str(" ab")[0][0][-2:] != "ab":
+        every = "".join(chr(c) for a, b in zip(LATIN[::3], LATIN[2::3], strict=True) for c in range(ord(a), ord(b) + 1))
+        if pieces(f" {every}") != [f" {every}"] or pieces(f"\n{every}") != ["\n", every]:
+            return None
+        spelt = self.library.pre_tokenizer.pre_tokenize_str(f" {every}")[0][0]
+        letters = dict(zip(f" {every}".encode(), spelt, strict=False))
+        if len(spelt) != len(f" {every}".encode()) or spelt.translate({ord(v): k for k, v in letters.items()}).encode("latin-1").decode() != f" {every}" or any(letters[ord(c)] != c for c in "azAZ"):
             return None
-        return "".join(m for m in ".,;:!?" if pieces(f" ab{m}") == [" ab", m])
+        return letters, "".join(m for m in ".,;:!?#$%&*()[]{}<>/|@^~+=\"" if all(pieces(f" {w}{m * n}") == [f" {w}", m * n] for w in ("ab", "é") for n in (1, 3)) and pieces(f"ab{m}.") == ["ab", f"{m}."])
 
     def _bytes(self, ids: list[int]) -> bytes:
         import numpy as np
@@ -426,7 +476,7 @@ def read_documents(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                begun, file, end_id = batch.column(0)[i].as_py(), WaveletFile(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
+                begun, file, end_id = batch.column(0)[i].as_py(), WaveletFile(batch.column(1)[i].as_py()).load(), batch.column(2)[i].as_py()
                 keys = pa.ipc.open_stream(file.doc_ids).read_all().column(0).combine_chunks()
                 lengths = file.lengths.astype(np.int64)
                 ends = np.cumsum(lengths)

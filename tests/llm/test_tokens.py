@@ -73,7 +73,11 @@ def test_wavelet_file_against_the_sequence(n, monkeypatch):
     monkeypatch.setattr(wavelet, "BLOCK", 512)
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.4, n), 50256).astype(np.uint16)
-    file = wavelet.WaveletFile(wavelet.build(ids, b"keys", [n]))
+    for file in (wavelet.WaveletFile(wavelet.build(ids, b"keys", [n])), wavelet.WaveletFile(wavelet.build(ids, b"keys", [n])).load()):
+        check_file(file, ids, n, rng)
+
+
+def check_file(file, ids, n, rng):
     assert (file.tokens() == ids).all() and file.doc_ids == b"keys" and list(file.lengths) == [n]
     for i in rng.integers(0, n, 20) if n else []:
         token = int(ids[i])
@@ -91,6 +95,11 @@ def test_access_reads_one_block_a_plane():
     file = wavelet.WaveletFile(wavelet.build(ids, b"", [len(ids)]))
     assert file.access(200_000) == int(ids[200_000])
     assert len(file._held) <= 2 * file.levels  # a place and the next one
+    check_many(file, ids)
+    check_many(file.load(), ids)
+
+
+def check_many(file, ids):
     places = np.arange(0, len(ids), 997)
     assert (file.access_many(places) == ids[places]).all()
     lo, hi = places[:-1], places[1:]
