@@ -35,8 +35,8 @@ def test_models_run(spark, sf_dir):
     rows = models.matrix(spark, sf_dir)
     model = ml.fit(rows, models.FEATURES, trees=10, depth=4)
     assert ml.evaluate(ml.score(model, rows, models.FEATURES)).first().auc > 0.8
-    with pytest.raises(ValueError, match="f9"):
-        ml.require(rows, ["f1", "f9"])
+    with pytest.raises(ValueError, match="f99"):
+        ml.require(rows, ["f1", "f99"])
     for r in rows.limit(3).collect():
         base, parts = ml.contributions(model, r.asDict(), models.FEATURES)
         assert base + sum(parts.values()) == pytest.approx(ml.score(model, rows.where(F.col("mp_id") == r.mp_id), models.FEATURES).first().score, abs=1e-9)
