@@ -106,3 +106,13 @@ def test_spreadsheet(spark, tmp_path):
     assert 'ref="A1:C3"' in sheet and "frozen" in sheet and "&lt;1&gt;" in sheet and '<c r="B3"><v>1.5</v></c>' in sheet and "colorScale" in sheet
     assert "a &amp; b" in legend
     assert sinks.write_xlsx(table.limit(0), f"{tmp_path}/e.xlsx") == 0
+
+
+def test_station_files(spark, sf_dir, tmp_path):
+    equals_its_twin(spark, sf_dir, "s19_station_files")
+    from meterloom.sources import weather_files as wf
+
+    (tmp_path / "a.csv").write_bytes("reference_timestamp;gre000z0;Höhe\n01.01.2024 00:10;1;x\n01.01.2024 00:10;2;x\nno time;3;x\n01.01.2024 00:20;-;x\n".encode("cp1252"))
+    got = wf.read_station(spark, [f"file://{tmp_path}/a.csv"], "S").collect()
+    assert {(r.t - 1704067200, r.irr, r.temp) for r in got} == {(600, 2.0, None), (1200, None, None)}
+    assert wf.read_station(spark, [], "S").columns == ["station", "t", "irr", "temp"]
