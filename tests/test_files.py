@@ -21,7 +21,7 @@ def row(*lead):
     return ";".join([*lead, *VALUES]) + ";"
 
 
-@pytest.mark.parametrize("name", ["s2_file_layouts", "s3_read_files", "s14_convert_files", "s18_places_of_any_encoding", "s22_pack_files", "s22_gap_report", "t3_files_by_first_date"])
+@pytest.mark.parametrize("name", ["s3_read_files", "s22_pack_files"])
 def test_queries_of_files(spark, sf_dir, name):
     equals_its_twin(spark, sf_dir, name)
 
